@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from tidewright.llm import mixing, url_filter
+from tidewright.llm import audio, html_text, mixing, near_dup, topk, url_filter
 
 
 def queries() -> dict:
     return {
         "op2_pivotal_mixing": mixing.query,
+        "op3_block_topk": topk.query,
+        "op5_audio_features": audio.query,
+        "op6_host_suffix_text": html_text.query,
         "op8_url_filter": url_filter.query,
+        "op10_superminhash_groups": near_dup.query,
     }
 
 
 def oracles() -> dict:
-    return {"op8_url_filter": url_filter.SQL}
+    return {"op3_block_topk": topk.SQL, "op8_url_filter": url_filter.SQL}
