@@ -16,8 +16,10 @@ U64 = np.uint64
 #: Bytes of text handled at once; a longer text is handled alone.
 BLOCK_BYTES = 1 << 21
 _BASE = 0x9E3779B97F4A7C15 | 1
-_IS_SPACE = np.zeros(256, bool)
-_IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
+IN_WORD = np.ones(256, bool)
+IN_WORD[[32, 9, 10, 11, 12, 13]] = False
+#: ASCII letters and digits and every byte of other characters.
+IN_NAME = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _VALUES = np.random.default_rng(20240501).integers(1, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
@@ -67,8 +69,8 @@ def blocks(column: pa.Array, most: int = BLOCK_BYTES) -> Iterator[tuple[int, int
 class Words:
     """The words of a block of texts: begin and end (in bytes), hash, and the range of words of each text."""
 
-    def __init__(self, data: np.ndarray, at: np.ndarray, lower: bool = True):
-        inside = ~_IS_SPACE[data]
+    def __init__(self, data: np.ndarray, at: np.ndarray, lower: bool = True, alphabet: np.ndarray = IN_WORD):
+        inside = alphabet[data]
         first, last = inside.copy(), inside.copy()
         first[1:] &= ~inside[:-1]
         last[:-1] &= ~inside[1:]
