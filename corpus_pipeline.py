@@ -1,6 +1,68 @@
-"""The corpus pipeline: each stage takes (spark, docs, sf_dir) and gives what the next one reads."""
+"""The corpus pipeline: language, near duplicates, repeated passages, mixture, batches.
+
+Each stage takes (spark, docs, sf_dir) and gives the documents that the next one reads, with the columns of documents; the
+last one gives the packed rows. run() writes each stage as Parquet under the session's shared checkpoint folder and reads
+it again, so a stage that is redone after a lost executor starts from files, not from the whole lineage.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidewright.llm import language_id, mixing, near_dup, packing, suffix_dedup
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language the network knows; it learns from the documents table."""
+    return language_id.accepted(docs, sf_dir)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that five-word shingles link at 0.8."""
+    return near_dup.keep_one(docs, width=5, percent=80)
+
+
+def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document without the strings of 100 bytes that start earlier; n_chars follows the text."""
+    found = suffix_dedup.dedup(docs, keep=("doc_id", *(c for c in docs.columns if c not in ("doc_id", "text"))), with_text=True)
+    found = found.withColumnRenamed("kept_text", "text")
+    if "n_chars" in docs.columns:
+        found = found.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return found.select(*docs.columns)
+
+
+def target_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mixture takes them."""
+    return mixing.materialise(docs)
+
+
+def batches(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The bucket, batch and slot of every document."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("language_id", known_language),
+    ("minhash_near_dedup", one_of_each_group),
+    ("suffix_array_dedup", without_repeats),
+    ("source_mixing", target_mix),
+    ("length_bucket_packing", batches),
+]
+
+#: Trained and randomised stages are not for SQL; tests hold each against a brute-force version.
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents table."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="tidewright-")
+    folder = f"{shared.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (name, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
+        docs = spark.read.parquet(f"{folder}/{k}-{name}")
+    return docs
