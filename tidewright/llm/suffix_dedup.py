@@ -26,7 +26,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -388,15 +387,15 @@ def dedup(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "tex
     schema = ", ".join(f"_keep_{k} {slim.schema[k].dataType.simpleString()}" for k in range(len(keep)))
     schema += ", n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text
     found = (
-        slim.mapInArrow(partial(_cut, **fixed), _ROWS)
+        slim.mapInArrow(lambda batches: _cut(batches, **fixed), _ROWS)
         .groupBy("key")
-        .applyInArrow(partial(_grouped, _answer_samples), _ROWS)
+        .applyInArrow(lambda rows: _grouped(_answer_samples, rows), _ROWS)
         .groupBy("key")
-        .applyInArrow(partial(_search, **ends), _ROWS)
+        .applyInArrow(lambda rows: _search(rows, **ends), _ROWS)
         .groupBy("key")
-        .applyInArrow(partial(_grouped, _answer_windows), _ROWS)
+        .applyInArrow(lambda rows: _grouped(_answer_windows, rows), _ROWS)
         .groupBy("key")
-        .applyInArrow(partial(_finish, **ends), schema)
+        .applyInArrow(lambda rows: _finish(rows, **ends), schema)
     )
     return found.select(*[F.col(f"_keep_{k}").alias(c) for k, c in enumerate(keep)], *found.columns[len(keep) :])
 
