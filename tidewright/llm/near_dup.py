@@ -10,7 +10,8 @@ and verified links are grouped by union-find (inside partitions, then by large-s
 members are in one component are done. For the others, after the rounds with changing centres, every pair of members of
 different components is verified, so no candidate is lost and no pair inside a component is ever emitted.
 
-Two documents of similarity s share no band with probability (1 - s**ROWS)**BANDS: 3e-6 at 0.8.
+Two documents of similarity s share no band with probability (1 - s**ROWS)**BANDS: 5e-6 at 0.8. Six rows a band keep
+documents that only share frequent words apart: at a similarity of 0.05 a band is shared once in 60 million pairs.
 
 Defined cases: a null or empty text, or one without words, has an empty set and is linked with nothing; a text of fewer
 words than a shingle is one shingle; repeated rows are copies of each other; a null doc_id is linked with nothing, has no
@@ -30,12 +31,14 @@ from pyspark.sql import functions as F
 from tidewright.llm import kernels
 from tidewright.llm.common import cut
 
-BANDS, ROWS = 24, 4
+BANDS, ROWS = 40, 6
 SLOTS = BANDS * ROWS
 #: Rounds with a centre a bucket before all pairs of different components are taken.
 STAR_ROUNDS = 4
 #: Up to so many open pairs, or this many times the candidates, all of them are verified at once.
 OPEN_PAIRS, OPEN_SHARE = 100_000, 4
+#: Steps of which only the swaps are kept.
+LAZY_STEPS = 12
 _STEP = np.uint32(24)
 
 
@@ -44,31 +47,41 @@ def superminhash(doc: np.ndarray, value: np.ndarray, n_docs: int, slots: int = S
     signature = np.full((n_docs, slots), 0xFFFFFFFF, np.uint32)
     flat, doc, value = signature.reshape(-1), doc.astype(np.int64), kernels.mix(value + np.uint64(seed))
     order: np.ndarray | None = None
-    first = np.zeros(0, np.int64)
+    swaps: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def at(place: np.ndarray) -> np.ndarray:
+        """What the permutations hold at these places after the swaps so far."""
+        if order is not None:
+            return order[np.arange(len(place)), place].astype(np.int64)
+        found = place
+        for to, what in swaps:
+            found = np.where(to == place, what, found)
+        return found
+
     for step in range(slots):
         x = kernels.mix(value + np.uint64(0x9E3779B97F4A7C15 * (step + 1) & 0xFFFFFFFFFFFFFFFF))
         pick = step + ((x & np.uint64(0xFFFFFFFF)) * np.uint64(slots - step) >> np.uint64(32)).astype(np.int64)
-        if step == 0:
-            slot, first = pick, pick
-        else:
-            if order is None:
-                order = np.tile(np.arange(slots, dtype=np.uint8), (len(doc), 1))
-                order[np.arange(len(doc)), first] = 0
-            rows = np.arange(len(doc))
-            slot = order[rows, pick].astype(np.int64)
-            order[rows, pick] = order[:, step]
+        slot, moved = at(pick), at(np.full(len(pick), step))
         np.minimum.at(flat, doc * slots + slot, (np.uint32(step) << _STEP) | (x >> np.uint64(40)).astype(np.uint32))
+        if order is None:
+            swaps.append((pick, moved))
+        else:
+            order[np.arange(len(pick)), pick] = moved
         if step + 1 == slots:
             break
         stays = ~(signature.max(axis=1) < np.uint32(step + 1) << _STEP)[doc]
         if not stays.all():
             doc, value = doc[stays], value[stays]
-            if order is None:
-                first = first[stays]
-            else:
-                order = order[stays]
+            swaps = [(to[stays], what[stays]) for to, what in swaps]
+            order = None if order is None else order[stays]
         if not len(doc):
             break
+        if order is None and step == LAZY_STEPS:
+            # The few elements that go on are those of short texts: from here on their permutations are written out.
+            order = np.tile(np.arange(slots, dtype=np.uint8), (len(doc), 1))
+            for to, what in swaps:
+                order[np.arange(len(doc)), to] = what
+            swaps = []
     return signature
 
 
@@ -196,6 +209,8 @@ def link(reps: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFra
     entries = reps.select("doc_id", "n_shingles", F.explode("bands").alias("bucket"))
     shared = entries.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
     members = cut(entries.join(shared, "bucket"))
+    # The texts that verification may ask for are gathered once; each round then only moves those.
+    texts = cut(texts.join(members.select("doc_id").distinct(), "doc_id", "left_semi"))
     fits = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
     links = tested = None
     found = None
