@@ -1,22 +1,23 @@
-"""Removal of repeated strings over all documents: suffix buckets, with a difference-cover sample to settle long ties.
+"""Removal of repeated strings over all documents: suffix buckets, with the ranks of a cover sample to settle long ties.
 
 Every byte that a string of LENGTH bytes covers which also starts earlier (in a smaller doc_id, or before in the same
 document) goes. Suffixes only have to be told apart to that depth.
 
-1. Cover sample. Of each document the suffixes at positions p with p mod COVER in a difference cover are sampled. For any
-   two positions some shift below COVER brings both into the sample, so two suffixes that agree on LENGTH bytes have
-   sampled suffixes at one shift that agree on LENGTH - COVER + 1 bytes. The sample is ranked bucket by bucket (a bucket is
-   a range of fingerprints); a sampled suffix whose rank no other has settles that nothing ties there.
-2. Suffix buckets. Only suffixes within reach of a tied sampled suffix can be repeated. They are sorted one bucket at a
-   time, by fingerprints of LENGTH bytes and then by document, and each bucket tells which have an earlier equal.
+1. Cover sample. In each string of LENGTH bytes one suffix is sampled: the one whose first GRAM bytes have the smallest
+   fingerprint. Equal strings have their sampled suffix at the same shift, wherever they stand, so the sample covers every
+   tie. The suffixes that share a sampled one are neighbours; they and what they read are one span.
+2. Ranks, one suffix bucket at a time (a bucket is a range of fingerprints of sampled suffixes). A bucket sorts its sampled
+   suffixes and ranks their spans by fingerprint. Spans of one rank tie as a whole: all but the earliest are repeated in
+   full. The earliest of a rank is unique in full where no other rank has its sampled suffix.
+3. Only where several ranks share a sampled suffix, at the ends of repeats, are the suffixes of the earliest spans
+   themselves sorted, again one bucket at a time, by fingerprints of LENGTH bytes and then by document.
 
-Texts travel in chunks of CHUNK_BYTES; a chunk tells a bucket each fingerprint once, with its first place, so a passage that
-a third of all documents share is a row a chunk and no task ever holds its copies. Whole copies of a document are found by
-digests in step 1 and take no part in step 2. Fingerprints of step 2 have 64 bits; those of step 1 may collide, which only
-adds work. A bucket is ordered by fingerprint, not by bytes: equal strings meet all the same.
+Texts travel in chunks of CHUNK_BYTES; a chunk tells a bucket each rank once, with its first place, so a passage that a third
+of all documents share is one entry a chunk and no task ever holds its copies. Fingerprints that decide have 82 (spans) and
+64 (strings) bits. A bucket is ordered by fingerprints, not by bytes: equal strings meet all the same.
 
 Chunks are cut from partitions of the input in the order read, so a lost task is redone alike from its lineage; nothing is
-kept outside Spark's shuffles.
+kept outside Spark's shuffles. Answers carry a mark of the chunk that they were made for.
 
 Defined cases: a null text is empty; a null doc_id is the largest; rows that repeat a doc_id are the same document, so
 neither is earlier than the other; documents shorter than LENGTH stay as they are.
@@ -25,6 +26,7 @@ neither is earlier than the other; documents shorter than LENGTH stay as they ar
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -37,9 +39,8 @@ from pyspark.sql import functions as F
 from tidewright.llm import kernels
 
 LENGTH = 100
-#: The powers of 2 modulo 73 are a perfect difference cover: each difference occurs once.
-COVER = 73
-RESIDUES = sorted({pow(2, k, COVER) for k in range(9)})
+#: Bytes that rank a sampled suffix.
+GRAM = 32
 CHUNK_BYTES = 2 << 20
 #: Buckets: one for so many bytes of text, and so many at least.
 BUCKET_BYTES, LEAST_BUCKETS = 16 << 20, 1024
@@ -50,21 +51,47 @@ _ARROW = pa.schema([("key", pa.int64()), ("kind", pa.int32()), ("chunk", pa.int6
 _LAST_ID = np.iinfo(np.int64).max
 
 
-def window_hash(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
-    """Fingerprints of the strings of that length at the ascending positions, worked out a segment of the data at a time."""
-    out = np.empty(len(starts), np.uint64)
-    up, down = kernels.powers(_SEGMENT + length + 1)
-    cuts = np.searchsorted(starts, np.arange(0, len(data) + _SEGMENT, _SEGMENT))
+def span_hash(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Fingerprints of byte ranges with ascending beginnings and short ends, worked out a segment of the data at a time."""
+    out = np.empty(len(begin), np.uint64)
+    longest = int((end - begin).max()) if len(begin) else 0
+    up, down = kernels.powers(_SEGMENT + longest + 1)
+    cuts = np.searchsorted(begin, np.arange(0, len(data) + _SEGMENT, _SEGMENT))
     for k in range(len(cuts) - 1):
         lo, hi = cuts[k], cuts[k + 1]
         if lo == hi:
             continue
         at = k * _SEGMENT
-        part = data[at : at + _SEGMENT + length]
+        part = data[at : at + _SEGMENT + longest]
         prefix = np.zeros(len(part) + 1, np.uint64)
         np.cumsum(kernels._VALUES[part] * up[: len(part)], out=prefix[1:])
-        s = starts[lo:hi] - at
-        out[lo:hi] = kernels.mix((prefix[s + length] - prefix[s]) * down[s])
+        b, e = begin[lo:hi] - at, end[lo:hi] - at
+        out[lo:hi] = kernels.mix((prefix[e] - prefix[b]) * down[b] + (e - b).astype(np.uint64))
+    return out
+
+
+def sampled(data: np.ndarray, valid: np.ndarray, length: int) -> np.ndarray:
+    """The position of the sampled suffix of each string of that length; -1 where no string starts.
+
+    Of the suffixes with the smallest 44 bits of fingerprint the first is taken.
+    """
+    out = np.full(len(data), -1, np.int64)
+    width = length - GRAM + 1
+    place = np.arange(_SEGMENT + length, dtype=np.uint64)
+    for at in range(0, len(data), _SEGMENT):
+        part = data[at : at + _SEGMENT + length - 1]
+        n = len(part) - length + 1
+        if n <= 0 or not valid[at : at + n].any():
+            continue
+        grams = np.arange(len(part) - GRAM + 1)
+        keys = (span_hash(part, grams, grams + GRAM) & ~np.uint64((1 << 20) - 1)) | place[: len(grams)]
+        reach = 1
+        while reach < width:
+            step = min(reach, width - reach)
+            keys = np.minimum(keys[: len(keys) - step], keys[step:])
+            reach += step
+        ok = valid[at : at + n]
+        out[at : at + n][ok] = at + (keys[ok] & np.uint64((1 << 20) - 1)).astype(np.int64)
     return out
 
 
@@ -79,7 +106,7 @@ def _edges(sorted_prints: np.ndarray, buckets: int) -> np.ndarray:
 
 def _packed(table: pa.Table) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))) as out:
         out.write_table(table)
     return sink.getvalue().to_pybytes()
 
@@ -111,67 +138,85 @@ class Chunk:
     def of(cls, table: pa.Table, length: int) -> Chunk:
         return cls(table.take(pc.sort_indices(table, [(table.column_names[0], "ascending")])).combine_chunks(), length)
 
-    def samples(self) -> tuple[np.ndarray, np.ndarray]:
-        """Positions and fingerprints of the sampled suffixes."""
-        short = self.length - COVER + 1
-        found = []
-        for start, size in zip(self.at[:-1].tolist(), self.sizes.tolist()):
-            if size >= self.length:
-                found.append(_cover_positions(size - short + 1) + start)
-        at = np.concatenate(found) if found else np.zeros(0, np.int64)
-        return at, window_hash(self.data, at, short)
-
-    def digests(self) -> np.ndarray:
-        """16 bytes for each document of LENGTH bytes or more, in two columns; zeros for shorter ones."""
-        out = np.zeros((len(self.sizes), 2), np.uint64)
-        view = memoryview(self.data)
-        for k, (a, b) in enumerate(zip(self.at[:-1].tolist(), self.at[1:].tolist())):
-            if b - a >= self.length:
-                out[k] = np.frombuffer(hashlib.blake2b(view[a:b], digest_size=16).digest(), np.uint64)
-        return out
+    def mark(self) -> bytes:
+        """Four bytes that tell this chunk from others."""
+        return zlib.crc32(self.sizes.tobytes(), zlib.crc32(self.ids.tobytes())).to_bytes(4, "little")
+
+    def strings(self) -> np.ndarray:
+        """Where a string of the length starts inside a document."""
+        marks = np.zeros(len(self.data) + 1, np.int8)
+        long = self.sizes >= self.length
+        marks[self.at[:-1][long]] += 1
+        marks[self.at[1:][long] - self.length + 1] -= 1
+        return np.cumsum(marks[:-1], dtype=np.int8) > 0
+
+    def spans(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """First and last start of the strings of each span, and fingerprints of its sampled suffix and of what it reads."""
+        valid = self.strings()
+        at = sampled(self.data, valid, self.length)
+        new = valid.copy()
+        new[1:] &= ~valid[:-1] | (at[1:] != at[:-1])
+        begins = self.at[:-1][self.sizes >= self.length]
+        new[begins] = True
+        first = np.flatnonzero(new)
+        stops = np.flatnonzero(new | ~valid)
+        following = np.append(stops, len(valid))[np.searchsorted(stops, first, "right")]
+        grams = at[first]
+        order = np.argsort(grams, kind="stable")
+        prints = np.empty(len(first), np.uint64)
+        prints[order] = span_hash(self.data, grams[order], grams[order] + GRAM)
+        return first, following - 1, prints, span_hash(self.data, first, following - 1 + self.length)
 
     def doc_of(self, positions: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.at, positions, "right") - 1
 
 
-def _cover_positions(count: int) -> np.ndarray:
-    """The sampled ones of the positions 0 to count - 1."""
-    turns = -(-count // COVER)
-    found = (np.arange(turns)[:, None] * COVER + np.array(RESIDUES)).ravel()
-    return found[: np.searchsorted(found, count)]
-
-
-def _firsts(digests: np.ndarray, ids: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows of the first of each digest in order of the digests, the place of each asked row in it, and which are later."""
-    rows = np.flatnonzero(asked)
-    order = rows[np.lexsort((rows, digests[rows, 1], digests[rows, 0]))]
-    same = np.zeros(len(order), bool)
-    same[1:] = (digests[order][1:] == digests[order][:-1]).all(axis=1)
-    place = np.empty(len(ids), np.int64)
-    place[order] = np.cumsum(~same) - 1
-    first = order[~same]
-    later = np.zeros(len(ids), bool)
-    later[rows] = ids[rows] > ids[first[place[rows]]]
-    return first, place, later
-
-
-def _cut(batches: Iterator[pa.RecordBatch], length: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    """Step 1 of a chunk: its texts, and for each bucket its sampled fingerprints (lower halves) and document digests."""
+class Ranks:
+    """The distinct spans of a chunk by bucket and first place, and which of all its spans are later than the first."""
+
+    def __init__(self, chunk: Chunk, buckets: int):
+        self.chunk = chunk
+        self.first, self.last, grams, reads = chunk.spans()
+        order = np.lexsort((np.arange(len(grams)), reads, grams))
+        same = np.zeros(len(order), bool)
+        same[1:] = (grams[order][1:] == grams[order][:-1]) & (reads[order][1:] == reads[order][:-1])
+        heads = order[~same]
+        place = np.empty(len(order), np.int64)
+        place[order] = np.cumsum(~same) - 1
+        bucket = _bucket(grams[heads], buckets)
+        by_bucket = np.lexsort((heads, bucket))
+        rank = np.empty(len(heads), np.int64)
+        rank[by_bucket] = np.arange(len(heads))
+        self.place, self.heads = rank[place], heads[by_bucket]
+        self.edges = np.searchsorted(bucket[by_bucket], np.arange(buckets + 1))
+        self.grams, self.reads = grams[self.heads], reads[self.heads]
+        doc = chunk.doc_of(self.first)
+        self.ids, inside = chunk.ids[doc], self.first - chunk.at[doc]
+        head = self.heads[self.place]
+        self.later = (self.ids > self.ids[head]) | ((self.ids == self.ids[head]) & (inside > inside[head]))
+
+
+_SPAN = np.dtype([("gram", "<u4"), ("read", "V5")])
+
+
+def _cut(batches: Iterator[pa.RecordBatch], length: int, buckets: int, texts: bool) -> Iterator[pa.RecordBatch]:
+    """The texts of each chunk, or for each bucket the distinct spans: halves of fingerprints and differences of ids."""
     number = TaskContext.get().partitionId() << 32
     for table in _chunks(batches):
         chunk = Chunk.of(table, length)
-        prints = np.unique(chunk.samples()[1])
-        edges = _edges(prints, buckets)
-        low = prints.astype(np.uint32)
-        digests = chunk.digests()
-        first, _, _ = _firsts(digests, chunk.ids, chunk.sizes >= length)
-        doc_edges = _edges(digests[first, 0], buckets)
-        rows = [(buckets + number, _TEXT, number, -1, _packed(chunk.table), b"")]
-        for k in np.flatnonzero((np.diff(edges) > 0) | (np.diff(doc_edges) > 0)).tolist():
-            docs = first[doc_edges[k] : doc_edges[k + 1]]
-            named = np.column_stack([digests[docs], chunk.ids[docs].view(np.uint64)])
-            rows.append((k, _PRINTS, number, k, low[edges[k] : edges[k + 1]].tobytes(), named.tobytes()))
-        yield _batch(rows)
+        if texts:
+            yield _batch([(number, _TEXT, number, -1, _packed(chunk.table), b"")])
+        else:
+            ranks = Ranks(chunk, buckets)
+            entries = np.empty(len(ranks.heads), _SPAN)
+            entries["gram"] = ranks.grams.astype(np.uint32)
+            entries["read"] = ranks.reads.view("V8").reshape(-1, 1).view(np.uint8).reshape(-1, 8)[:, :5].copy().view("V5").ravel()
+            ids, rows = ranks.ids[ranks.heads], []
+            for k in np.flatnonzero(np.diff(ranks.edges)).tolist():
+                part = slice(ranks.edges[k], ranks.edges[k + 1])
+                rows.append((k, _PRINTS, number, k, chunk.mark() + entries[part].tobytes(), _zip(np.diff(ids[part], prepend=0))))
+            if rows:
+                yield _batch(rows)
         number += 1
 
 
@@ -204,46 +249,47 @@ def _grouped(answer: Callable, group: pa.Table) -> pa.Table:
     return pa.Table.from_batches([_batch(texts + replies)])
 
 
-def _answer_samples(rows: list[dict]) -> list[tuple[bytes, bytes]]:
-    """Which sampled fingerprints another chunk has, and which documents have an earlier copy."""
-    prints = [np.frombuffer(r["a"], np.uint32) for r in rows]
-    docs = [np.frombuffer(r["b"], np.uint64).reshape(-1, 3) for r in rows]
-    every = np.concatenate(prints)
-    order = np.argsort(every, kind="stable")
-    same = every[order][1:] == every[order][:-1]
-    tied = np.zeros(len(every), bool)
-    tied[order[1:][same]] = True
-    tied[order[:-1][same]] = True
-    named = np.concatenate(docs)
-    ids = named[:, 2].view(np.int64) if len(named) else np.zeros(0, np.int64)
-    earlier = _later(named[:, 0], named[:, 1], ids)
-    return list(
-        zip(
-            (np.packbits(x).tobytes() for x in np.split(tied, np.cumsum([len(p) for p in prints])[:-1])),
-            (np.packbits(x).tobytes() for x in np.split(earlier, np.cumsum([len(d) for d in docs])[:-1])),
-        )
-    )
-
-
-def _later(high: np.ndarray, low: np.ndarray, ids: np.ndarray) -> np.ndarray:
+def _ids(row: dict) -> np.ndarray:
+    return np.cumsum(_unzip(row["b"], np.int64))
+
+
+def _answer_spans(rows: list[dict]) -> list[tuple[bytes, bytes]]:
+    """Which spans an earlier document of another chunk has, and which earliest ones share their sampled suffix with others."""
+    entries = [np.frombuffer(r["a"], _SPAN, offset=4) for r in rows]
+    every = np.concatenate(entries)
+    read = np.zeros((len(every), 8), np.uint8)
+    read[:, :5] = np.ascontiguousarray(every["read"]).view(np.uint8).reshape(-1, 5)
+    gram, read, ids = every["gram"].astype(np.uint64), read.view(np.uint64).ravel(), np.concatenate([_ids(r) for r in rows])
+    order = np.lexsort((ids, read, gram))
+    g, r, i = gram[order], read[order], ids[order]
+    n = np.arange(len(order))
+    new_gram, new_read = np.ones(len(order), bool), np.ones(len(order), bool)
+    new_gram[1:] = g[1:] != g[:-1]
+    new_read[1:] = new_gram[1:] | (r[1:] != r[:-1])
+    later = i > i[np.maximum.accumulate(np.where(new_read, n, 0))]
+    group = np.cumsum(new_gram) - 1
+    shared = np.bincount(group, weights=new_read)[group] > 1
+    flags = np.empty((2, len(order)), bool)
+    flags[0, order], flags[1, order] = later, shared & ~later
+    cuts = np.cumsum([len(e) for e in entries])[:-1]
+    return [(row["a"][:4] + np.packbits(x).tobytes(), np.packbits(y).tobytes()) for row, x, y in zip(rows, np.split(flags[0], cuts), np.split(flags[1], cuts))]
+
+
+def _later(prints: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """Which entries have an equal one with a smaller id."""
+    order = np.lexsort((ids, prints))
+    p, i = prints[order], ids[order]
+    new = np.ones(len(order), bool)
+    new[1:] = p[1:] != p[:-1]
     out = np.zeros(len(ids), bool)
-    if len(ids):
-        order = np.lexsort((ids, low, high))
-        h, lo, i = high[order], low[order], ids[order]
-        new = np.ones(len(ids), bool)
-        new[1:] = (h[1:] != h[:-1]) | (lo[1:] != lo[:-1])
-        first = np.maximum.accumulate(np.where(new, np.arange(len(ids)), 0))
-        out[order] = i > i[first]
+    out[order] = i > i[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
     return out
 
 
 def _answer_windows(rows: list[dict]) -> list[tuple[bytes, bytes]]:
     """Which fingerprints of whole strings an earlier document of another chunk has."""
     prints = [np.frombuffer(r["a"], np.uint64) for r in rows]
-    ids = [np.cumsum(_unzip(r["b"], np.int64)) for r in rows]
-    every = np.concatenate(prints)
-    later = _later(every, np.zeros(len(every), np.uint8), np.concatenate(ids))
+    later = _later(np.concatenate(prints), np.concatenate([_ids(r) for r in rows]))
     return [(np.packbits(x).tobytes(), b"") for x in np.split(later, np.cumsum([len(p) for p in prints])[:-1])]
 
 
@@ -264,7 +310,7 @@ def _windows(chunk: Chunk, mask: np.ndarray, buckets: int) -> tuple:
     indexes of starts), and the edges of the buckets.
     """
     starts = np.flatnonzero(mask)
-    prints = window_hash(chunk.data, starts, chunk.length)
+    prints = span_hash(chunk.data, starts, starts + chunk.length)
     distinct, first, place = np.unique(prints, return_index=True, return_inverse=True)
     order = np.lexsort((first, _bucket(distinct, buckets)))
     rank = np.empty(len(order), np.int64)
@@ -272,40 +318,39 @@ def _windows(chunk: Chunk, mask: np.ndarray, buckets: int) -> tuple:
     return starts, rank[place], first[order], distinct[order], _edges(distinct, buckets)
 
 
+def _covered(size: int, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Positions inside the ranges, ends included."""
+    marks = np.zeros(size + 1, np.int32)
+    np.add.at(marks, first, 1)
+    np.add.at(marks, last + 1, -1)
+    return np.cumsum(marks[:-1]) > 0
+
+
 def _search(group: pa.Table, length: int, buckets: int, keep: int, with_text: bool) -> pa.Table:
-    """Step 2 of a chunk: decided documents, texts of the others with the starts to look up, and their fingerprints."""
+    """Decided documents of a chunk, texts of the others with what is known of them, and the strings to look up."""
     rows = group.to_pylist()
     text = next(r for r in rows if r["kind"] == _TEXT)
+    replies = [r for r in rows if r["kind"] == _REPLY]
     chunk = Chunk(_unpacked(text["a"]), length)
-    at, prints = chunk.samples()
-    distinct, place, count = np.unique(prints, return_inverse=True, return_counts=True)
-    tied = _bits({r["bucket"]: r["a"] for r in rows if r["kind"] == _REPLY}, _edges(distinct, buckets)) | (count > 1)
-    digests = chunk.digests()
-    long = chunk.sizes >= length
-    first, where, copies = _firsts(digests, chunk.ids, long)
-    elsewhere = _bits({r["bucket"]: r["b"] for r in rows if r["kind"] == _REPLY}, _edges(digests[first, 0], buckets))
-    copies[long] |= elsewhere[where[long]]
-
-    hits = at[tied[place]]
-    doc = chunk.doc_of(hits)
-    hits, doc = hits[~copies[doc]], doc[~copies[doc]]
-    marks = np.zeros(len(chunk.data) + 2, np.int32)
-    np.add.at(marks, np.maximum(hits - COVER + 1, chunk.at[doc]), 1)
-    np.add.at(marks, np.maximum(np.minimum(hits, chunk.at[doc + 1] - length) + 1, np.maximum(hits - COVER + 1, chunk.at[doc])), -1)
-    mask = np.cumsum(marks)[: len(chunk.data)] > 0
-    open_docs = np.unique(chunk.doc_of(np.flatnonzero(mask))) if mask.any() else np.zeros(0, np.int64)
-
+    if any(r["a"][:4] != chunk.mark() for r in replies):
+        raise RuntimeError("the input was read in another order than before; answers do not fit their chunk")
+    ranks = Ranks(chunk, buckets)
+    earlier = _bits({r["bucket"]: r["a"][4:] for r in replies}, ranks.edges)
+    shared = _bits({r["bucket"]: r["b"] for r in replies}, ranks.edges)
+    size = len(chunk.data)
+    later = ranks.later | earlier[ranks.place]
+    removed = _covered(size, ranks.first[later], ranks.last[later] + length - 1)
+    asks = shared[ranks.place] & ~later
+    mask = _covered(size, ranks.first[asks], ranks.last[asks])
     is_open = np.zeros(len(chunk.sizes), bool)
-    is_open[open_docs] = True
-    none = np.zeros(len(chunk.data), bool)
-    for k in np.flatnonzero(copies).tolist():
-        none[chunk.at[k] : chunk.at[k + 1]] = True
-    decided = _results(chunk, none, np.flatnonzero(~is_open), keep, with_text)
-    rest = Chunk(chunk.table.take(pa.array(open_docs)).combine_chunks(), length)
-    kept_mask = mask[np.repeat(is_open, chunk.sizes)]
-    out = [(buckets + text["chunk"], _TEXT, text["chunk"], -1, _packed(decided), _packed(rest.table) + _tail(kept_mask))]
-    if len(open_docs):
-        starts, _, firsts, distinct, edges = _windows(rest, kept_mask, buckets)
+    is_open[chunk.doc_of(ranks.first[asks])] = True
+    decided = _results(chunk, removed, np.flatnonzero(~is_open), keep, with_text)
+    rest = Chunk(chunk.table.take(pa.array(np.flatnonzero(is_open))).combine_chunks(), length)
+    inside = np.repeat(is_open, chunk.sizes)
+    blob = _packed(rest.table) + _tail(mask[inside], removed[inside])
+    out = [(buckets + text["chunk"], _TEXT, text["chunk"], -1, _packed(decided), blob)]
+    if is_open.any():
+        starts, _, firsts, distinct, edges = _windows(rest, mask[inside], buckets)
         ids = rest.ids[rest.doc_of(starts[firsts])]
         for k in np.flatnonzero(np.diff(edges)).tolist():
             part = slice(edges[k], edges[k + 1])
@@ -313,9 +358,9 @@ def _search(group: pa.Table, length: int, buckets: int, keep: int, with_text: bo
     return pa.Table.from_batches([_batch(out)])
 
 
-def _tail(mask: np.ndarray) -> bytes:
-    """The mask and, in the last 8 bytes, the size of what precedes them here."""
-    blob = _zip(np.packbits(mask))
+def _tail(*masks: np.ndarray) -> bytes:
+    """The masks and, in the last 8 bytes, the size of what precedes them here."""
+    blob = _zip(np.concatenate([np.packbits(m) for m in masks]))
     return blob + len(blob).to_bytes(8, "little")
 
 
@@ -355,16 +400,13 @@ def _finish(group: pa.Table, length: int, buckets: int, keep: int, with_text: bo
     rest = Chunk(_unpacked(text["b"][: -8 - size]), length)
     if not len(rest.sizes):
         return decided
-    mask = np.unpackbits(_unzip(text["b"][-8 - size : -8], np.uint8), count=len(rest.data)).astype(bool)
+    mask, known = (np.unpackbits(half, count=len(rest.data)).astype(bool) for half in _unzip(text["b"][-8 - size : -8], np.uint8).reshape(2, -1))
     starts, place, firsts, _, edges = _windows(rest, mask, buckets)
     earlier = _bits({r["bucket"]: r["a"] for r in rows if r["kind"] == _REPLY}, edges)
     doc = rest.doc_of(starts)
     ids, inside, first = rest.ids[doc], starts - rest.at[doc], firsts[place]
     later = earlier[place] | (ids > ids[first]) | ((ids == ids[first]) & (inside > inside[first]))
-    marks = np.zeros(len(rest.data) + length + 1, np.int32)
-    np.add.at(marks, starts[later], 1)
-    np.add.at(marks, starts[later] + length, -1)
-    removed = np.cumsum(marks)[: len(rest.data)] > 0
+    removed = known | _covered(len(rest.data), starts[later], starts[later] + length - 1)
     return pa.concat_tables([decided, _results(rest, removed, np.arange(len(rest.sizes)), keep, with_text)])
 
 
@@ -373,8 +415,8 @@ def dedup(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "tex
 
     A removal can cut a character in two; kept_text leaves out the bytes that are then no UTF-8.
     """
-    if length < COVER + 8:
-        raise ValueError(f"strings of less than {COVER + 8} bytes")
+    if not GRAM < length < 1 << 16:
+        raise ValueError(f"strings of {length} bytes")
     slim = docs.select(
         F.col(keep[0]).cast("long").alias("_keep_0"),
         *[F.col(c).alias(f"_keep_{k}") for k, c in enumerate(keep) if k],
@@ -386,10 +428,11 @@ def dedup(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "tex
     ends = fixed | {"keep": len(keep), "with_text": with_text}
     schema = ", ".join(f"_keep_{k} {slim.schema[k].dataType.simpleString()}" for k in range(len(keep)))
     schema += ", n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text
+    asked = slim.mapInArrow(lambda batches: _cut(batches, texts=False, **fixed), _ROWS)
+    texts = slim.mapInArrow(lambda batches: _cut(batches, texts=True, **fixed), _ROWS)
+    replies = asked.groupBy("key").applyInArrow(lambda rows: _grouped(_answer_spans, rows), _ROWS)
     found = (
-        slim.mapInArrow(lambda batches: _cut(batches, **fixed), _ROWS)
-        .groupBy("key")
-        .applyInArrow(lambda rows: _grouped(_answer_samples, rows), _ROWS)
+        texts.unionAll(replies)
         .groupBy("key")
         .applyInArrow(lambda rows: _search(rows, **ends), _ROWS)
         .groupBy("key")
