@@ -68,6 +68,14 @@ def test_empty_table(spark):
     assert suffix_dedup.dedup(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
-def test_cover_has_every_difference():
-    r = suffix_dedup.RESIDUES
-    assert {(a - b) % suffix_dedup.COVER for a in r for b in r} == set(range(suffix_dedup.COVER))
+def test_equal_strings_sample_the_same_suffix():
+    rng = np.random.default_rng(1)
+    shared = rng.integers(97, 101, 400).astype(np.uint8)
+    texts = [np.concatenate([rng.integers(97, 101, n).astype(np.uint8), shared, rng.integers(97, 101, 50).astype(np.uint8)]) for n in (0, 7, 333)]
+    shifts = []
+    for n, t in zip((0, 7, 333), texts):
+        valid = np.arange(len(t)) <= len(t) - 100
+        at = suffix_dedup.sampled(t, valid, 100)
+        shifts.append((at - np.arange(len(t)))[n : n + 301])
+        assert ((at >= np.arange(len(t))) & (at <= np.arange(len(t)) + 68))[valid].all()
+    assert (shifts[0] == shifts[1]).all() and (shifts[0] == shifts[2]).all()
