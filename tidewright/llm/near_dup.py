@@ -5,10 +5,10 @@ lands in slot p(j) with the value j + r. A slot keeps the smallest value, so an
 document holds less than the step. Values are whole numbers: the step in the upper 8 bits, 24 random bits below.
 
 Documents with equal shingle sets are one class, whose smallest doc_id stands for it. Bands of the signatures of the class
-representatives give buckets; each round, a bucket links its members to one centre, pairs are verified on the full sets,
-and verified links are grouped by union-find (inside partitions, then by large-star and small-star rounds). Buckets whose
-members are in one component are done. For the others, after the rounds with changing centres, every pair of members of
-different components is verified, so no candidate is lost and no pair inside a component is ever emitted.
+representatives give buckets. First each bucket links its members to its smallest one; these pairs are verified on the full
+sets, and links are grouped by union-find (inside partitions, then by large-star and small-star rounds). Buckets whose
+members are then in one component are done. The members of the others are compared inside the bucket, all with all on their
+full sets, in blocks of a bounded number of texts; only links leave a block, so no pair is ever a row and none is lost.
 
 Two documents of similarity s share no band with probability (1 - s**ROWS)**BANDS: 5e-6 at 0.8. Six rows a band keep
 documents that only share frequent words apart: at a similarity of 0.05 a band is shared once in 60 million pairs.
@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tidewright.llm import kernels
@@ -33,10 +33,8 @@ from tidewright.llm.common import cut
 
 BANDS, ROWS = 40, 6
 SLOTS = BANDS * ROWS
-#: Rounds with a centre a bucket before all pairs of different components are taken.
-STAR_ROUNDS = 4
-#: Up to so many open pairs, or this many times the candidates, all of them are verified at once.
-OPEN_PAIRS, OPEN_SHARE = 100_000, 4
+#: Members of a block, and shingles that are compared at once.
+BLOCK, COLUMNS = 512, 4096
 #: Steps of which only the swaps are kept.
 LAZY_STEPS = 12
 _STEP = np.uint32(24)
@@ -118,7 +116,7 @@ def _signed(width: int):
 
 
 def signed(docs: DataFrame, width: int, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, n_shingles, a digest of the shingle set and the band hashes of every row."""
+    """doc_id, n_shingles, a digest of the shingle set, and the band hashes of every row."""
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return slim.mapInArrow(_signed(width), "doc_id long, n_shingles long, key binary, bands array<long>")
 
@@ -151,7 +149,7 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
     met = pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
     counted = met.mapInArrow(_shared(width), "a long, b long, both long, either long")
-    return counted.filter((100 * F.col("both") >= percent * F.col("either")) & (F.col("both") > 0)).select("a", "b").distinct()
+    return counted.filter((100 * F.col("both") >= percent * F.col("either")) & (F.col("both") > 0)).select("a", "b")
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,74 +173,88 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(edges: DataFrame) -> DataFrame:
     """node and component (its smallest node) of every node of the edges (a, b) that is not the smallest itself."""
 
-    def total(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    def saved(df: DataFrame) -> tuple[DataFrame, tuple]:
+        """The edges, cut from their lineage, with a count and a checksum of them taken on the way."""
+        seen = Observation()
+        df = cut(df.distinct().observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")))
+        return df, (seen.get["n"], seen.get["s"])
 
-    now = cut(edges.select("a", "b").mapInArrow(_forest, "u long, v long").distinct())
-    before = total(now)
+    now, before = saved(edges.select("a", "b").mapInArrow(_forest, "u long, v long"))
     while before[0]:
         # large-star: the larger neighbours of a node go to its smallest neighbour
         both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        now = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        star = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         # small-star: the smaller neighbours of a node, and the node, go to the smallest of them
-        least = now.groupBy("u").agg(F.min("v").alias("m"))
-        met = now.join(least, "u")
-        now = met.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v")))
-        now = cut(now.distinct())
-        after = total(now)
+        least = star.groupBy("u").agg(F.min("v").alias("m"))
+        met = star.join(least, "u")
+        now, after = saved(met.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v"))))
         if after == before:
             break
         before = after
     return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
-def _open_pairs(members: DataFrame) -> int:
-    """How many pairs of members of one bucket are in different components."""
-    sizes = members.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-    by_bucket = sizes.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("s"))
-    return by_bucket.agg(F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("s")) / 2), F.lit(0))).first()[0]
+def alike(sets: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which of these sets are linked, as a matrix of all with all; sets are sorted arrays of distinct hashes."""
+    n, size = len(sets), np.array([len(x) for x in sets])
+    row, value = np.repeat(np.arange(n), size), np.concatenate(sets)
+    _, column, count = np.unique(value, return_inverse=True, return_counts=True)
+    often = count[column] > 1
+    row, column = row[often], np.unique(column[often], return_inverse=True)[1]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    both = np.zeros((n, n), np.float32)
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        part = slice(*np.searchsorted(column, [at, at + COLUMNS]))
+        has = np.zeros((n, COLUMNS), np.float32)
+        has[row[part], column[part] - at] = 1
+        both += has @ has.T
+    both = np.rint(both).astype(np.int64)
+    return (100 * both >= percent * (size[:, None] + size[None, :] - both)) & (both > 0)
+
+
+def _linked_inside(width: int, percent: int):
+    """Links between the texts of a block: each one that is not the smallest of what it is linked with, to the smallest."""
+
+    def run(table: pa.Table) -> pa.Table:
+        ids, component = table.column("doc_id").to_numpy(), table.column("component").to_numpy()
+        sets: list[np.ndarray] = []
+        for lo, hi, data, at in kernels.blocks(table.column("text").combine_chunks()):
+            doc, value = kernels.distinct(*kernels.Words(data, at).shingles(width))
+            sets += np.split(value, np.searchsorted(doc, np.arange(1, hi - lo)))
+        link = alike(sets, percent) & (component[:, None] != component[None, :])
+        label = ids.copy()
+        while True:
+            fresh = np.minimum(label, np.where(link, label[None, :], np.iinfo(np.int64).max).min(axis=1))
+            if (fresh == label).all():
+                break
+            label = fresh
+        moved = label != ids
+        return pa.table({"a": label[moved], "b": ids[moved]})
+
+    return run
 
 
 def link(reps: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """node and component over the representatives (doc_id, n_shingles, bands), as far as they differ."""
     entries = reps.select("doc_id", "n_shingles", F.explode("bands").alias("bucket"))
-    shared = entries.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
-    members = cut(entries.join(shared, "bucket"))
-    # The texts that verification may ask for are gathered once; each round then only moves those.
-    texts = cut(texts.join(members.select("doc_id").distinct(), "doc_id", "left_semi"))
-    fits = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
-    links = tested = None
-    found = None
-    for turn in range(STAR_ROUNDS + 1):
-        if found is None:
-            placed = members.withColumn("component", F.col("doc_id"))
-        else:
-            named = found.withColumnRenamed("node", "doc_id")
-            placed = members.join(named, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-            mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("bucket")
-            placed = cut(placed.join(mixed, "bucket"))
-        left = _open_pairs(placed)
-        if not left:
-            break
-        last = turn == STAR_ROUNDS or found is not None and left <= max(OPEN_PAIRS, OPEN_SHARE * members.count())
-        a = placed.select("bucket", F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"), F.col("component").alias("ca"))
-        b = placed.select("bucket", F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("component").alias("cb"))
-        if not last:
-            order = F.col("a") if turn == 0 else F.xxhash64("a", F.lit(turn))
-            a = a.groupBy("bucket").agg(F.min(F.struct(order.alias("o"), "a", "na", "ca")).alias("c")).select("bucket", "c.a", "c.na", "c.ca")
-        pairs = b.join(a, "bucket").filter((F.col("ca") != F.col("cb")) & fits)
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = cut(pairs)
-        good = cut(verified(pairs, texts, width, percent))
-        links = good if links is None else links.unionAll(good)
-        tested = pairs if tested is None else tested.unionAll(pairs)
-        found = components(links)
-        if last:
-            break
-    return found if found is not None else reps.select(F.col("doc_id").alias("node"), F.col("doc_id").alias("component")).limit(0)
+    shared = entries.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "n_shingles")).alias("c")).filter("n > 1")
+    members = cut(entries.join(shared.select("bucket", "c"), "bucket"))
+    # The texts that verification may ask for are gathered once; what follows only moves those.
+    texts = cut(texts.join(members.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    fits = F.least("n_shingles", "c.n_shingles") * 100 >= F.greatest("n_shingles", "c.n_shingles") * percent
+    pairs = cut(members.filter((F.col("c.doc_id") != F.col("doc_id")) & fits).select(F.col("c.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct())
+    links = cut(verified(pairs, texts, width, percent))
+    named = components(links).withColumnRenamed("node", "doc_id")
+    placed = members.select("bucket", "doc_id").join(named, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    sizes = placed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
+    open_rows = placed.join(sizes.select("bucket", "n"), "bucket").withColumn("_blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    own = F.pmod(F.xxhash64("doc_id"), F.col("_blocks")).cast("int")
+    open_rows = open_rows.withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    blocks = open_rows.select("bucket", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), "doc_id", "component").join(texts, "doc_id")
+    inside = blocks.groupBy("bucket", "i", "j").applyInArrow(_linked_inside(width, percent), "a long, b long")
+    return components(links.unionAll(cut(inside)))
 
 
 def group(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -257,7 +269,7 @@ def group(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text"
     found = link(reps.select("doc_id", "n_shingles", "bands"), texts, width, percent)
     named = reps.select("key", "doc_id").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     named = cut(named.select("key", F.coalesce("component", "doc_id").alias("component_id")))
-    linked = usable.drop("bands").join(named, "key").select("doc_id", "n_shingles", "component_id")
+    linked = usable.select("key", "doc_id", "n_shingles").join(named, "key").select("doc_id", "n_shingles", "component_id")
     alone = every.filter(~(filled & F.col("doc_id").isNotNull())).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return linked.unionAll(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
