@@ -1,50 +1,8 @@
-"""Every query of the engine by name, with the DuckDB SQL that gives the same rows."""
+"""All queries of the engine; importing the plans registers them."""
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-from pyspark.sql import Window as W
+from tidewright.plans import augmentation, corpus, evaluation, relational, requests, streams  # noqa: F401
+from tidewright.plans.registry import ORACLES, QUERIES
 
-from tidewright.session import table
-
-QUERIES: dict = {}
-ORACLES: dict = {}
-
-
-def query(name: str, sql: str | None = None):
-    """Registers a function of (spark, sf_dir) under a name."""
-
-    def keep(f):
-        QUERIES[name] = f
-        if sql:
-            ORACLES[name] = sql
-        return f
-
-    return keep
-
-
-@query(
-    "dedup_length_profile",
-    """
-    WITH firsts AS (
-        SELECT * FROM documents QUALIFY row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) = 1)
-    SELECT source, count(*) AS n_rows, count(DISTINCT lang) AS n_langs,
-           quantile_cont(length(text), 0.5) AS p50, quantile_cont(length(text), 0.95) AS p95,
-           quantile_cont(length(text), 0.99) AS p99
-    FROM firsts GROUP BY source
-    """,
-)
-def dedup_length_profile(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    first = W.partitionBy(F.sha2("text", 256)).orderBy("doc_id")
-    size = F.length("text")
-    return (
-        docs.withColumn("rn", F.row_number().over(first))
-        .filter("rn = 1")
-        .groupBy("source")
-        .agg(
-            F.count("*").alias("n_rows"),
-            F.countDistinct("lang").alias("n_langs"),
-            *[F.percentile(size, F.lit(q)).alias(f"p{round(q * 100)}") for q in (0.5, 0.95, 0.99)],
-        )
-    )
+__all__ = ["ORACLES", "QUERIES"]
