@@ -28,4 +28,4 @@ def pipeline(spark, sf_dir: str):
 
 
 def oracles() -> dict:
-    return {"op3_block_topk": topk.SQL, "op8_url_filter": url_filter.SQL}
+    return {"op3_block_topk": topk.SQL, "op8_url_filter": url_filter.SQL, "op10_superminhash_groups": near_dup.SQL}
