@@ -19,7 +19,7 @@ def duck(sf_dir):
 
 
 def shown(value):
-    if value is None or value is pd.NaT or isinstance(value, float) and value != value:
+    if value is None or value is pd.NaT or value is pd.NA or isinstance(value, float) and value != value:
         return "null"
     if isinstance(value, (list, np.ndarray)):
         return str(list(value))

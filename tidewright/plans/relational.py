@@ -72,13 +72,13 @@ def top_orders_per_customer(spark, sf_dir):
 
 
 @query("latest_event_as_of_order", """
-    WITH e AS (SELECT user_id, ts, event_id FROM events), o AS (SELECT o_custkey % 100 AS user_id, min(o_orderdate) + INTERVAL 10000 DAY AS at FROM orders GROUP BY 1)
+    WITH e AS (SELECT user_id, ts, event_id FROM events), o AS (SELECT o_custkey % 100 AS user_id, min(o_orderdate) + INTERVAL 10610 DAY AS at FROM orders GROUP BY 1)
     SELECT o.user_id, max(e.event_id) FILTER (WHERE e.ts = m.ts) AS event_id FROM o LEFT JOIN (SELECT o.user_id, max(e.ts) AS ts FROM o JOIN e ON e.user_id = o.user_id AND e.ts <= o.at GROUP BY 1) m ON m.user_id = o.user_id
     LEFT JOIN e ON e.user_id = o.user_id AND e.ts <= o.at GROUP BY o.user_id
     """)
 def latest_event_as_of_order(spark, sf_dir):
     """The last event of a user not after a time: a union sorted by key and time carries the last event forward."""
-    o = table(spark, sf_dir, "orders").groupBy((F.col("o_custkey") % 100).alias("user_id")).agg(F.expr("min(o_orderdate) + INTERVAL 10000 DAYS").alias("ts"))
+    o = table(spark, sf_dir, "orders").groupBy((F.col("o_custkey") % 100).alias("user_id")).agg(F.expr("min(o_orderdate) + INTERVAL 10610 DAYS").alias("ts"))
     e = table(spark, sf_dir, "events").select("user_id", "ts", F.struct("ts", "event_id").alias("e"), F.lit(False).alias("asks"))
     every = e.unionByName(o.select("user_id", "ts", F.lit(None).cast(e.schema["e"].dataType).alias("e"), F.lit(True).alias("asks")))
     w = W.partitionBy("user_id").orderBy("ts").rangeBetween(W.unboundedPreceding, 0)
