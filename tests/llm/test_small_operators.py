@@ -168,6 +168,23 @@ def test_regions_and_blocks():
     assert html_text.read_blocks("") == ([], False)
 
 
+def test_names_leave_out_no_article():
+    for page in (
+        '<div class="layout has-sidebar"><div>x</div><article><p>story</article></div>',
+        '<div class="page sidebar"><div>x</div><article><p>story</article>y</div>',
+        '<main><div class="sidebar"><article><p>story</article></div></main>',
+        '<article class="post share-enabled"><p>story</article>',
+        '<article class="share"><p>story</article>',
+        '<div class="sidebar"><article>teaser</article><div></div><article>teaser</article></div><article><p>story</article>',
+        '<div class="related"><article>teaser</article></div><main><p>story</main>',
+        '<main><article></article><p>story</main>',
+        '<main><p>story<div class="site-footer">x</div><div class="post-share">x</div></main>',
+    ):
+        assert html_text.read_blocks(page) == (["story"], True)
+    assert html_text.read_blocks('<div class="elementor-widget">story</div>') == (["story"], False)
+    assert html_text.read_blocks("<main><article>ad</article><p>the whole story</main>") == (["ad", "the whole story"], True)
+
+
 def test_repeated_runs_go_from_undecided_pages(spark):
     menu = "<div>home news about us contact privacy terms of use imprint</div>"
     own = lambda k: " ".join(f"w{k}{j}" for j in range(12))

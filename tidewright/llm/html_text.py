@@ -53,41 +53,66 @@ _NAMES = {
     "navigation", "newsletter", "notice", "notices", "overlay", "popup", "promo", "promoted", "related", "respond", "share",
     "sharing", "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget",
 }
+#: Parts that a class or id of a region to leave out may have besides its name (site-footer, post-share).
+_NEUTRAL = {
+    "area", "article", "bar", "block", "blog", "bottom", "box", "button", "buttons", "container", "entry", "global", "inner", "item",
+    "items", "left", "link", "links", "list", "main", "outer", "page", "post", "primary", "right", "secondary", "section", "site",
+    "slot", "story", "top", "unit", "wrap", "wrapper",
+}
+#: An article inside a region of such a name is a reader's comment, a teaser or an advert.
+_NO_STORY = {
+    "ad", "ads", "advert", "adverts", "advertisement", "advertising", "comment", "comments", "disqus", "promo", "promoted",
+    "related", "respond", "sponsor", "sponsored",
+}
 _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: An article that begins inside one of these shows that the region was never closed.
 _CLOSED_BY_ARTICLE = {"nav", "header", "form", "menu", "button"}
 _ATTRIBUTE = re.compile(r"(class|id|role|aria-label|itemprop|hidden)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 _WORD = re.compile(r"[a-z]+")
-MAIN, OPEN = 1, 0
+MAIN, OPEN, WRAPPER = 1, 0, -2
+#: Kinds of blocks in main text: of an article, of another main region, of one that a region to leave out wraps.
+ARTICLE, OTHER, WRAPPED = 3, 2, 1
+
+
+def _left_out(value: str) -> set[str]:
+    """The names of regions to leave out that whole classes (or an id) give; has-sidebar or elementor-widget give none."""
+    found = set()
+    for token in value.lower().strip("\"'").split():
+        words = set(_WORD.findall(token))
+        if words & _NAMES and words <= _NAMES | _NEUTRAL:
+            found |= words & _NAMES
+    return found
 
 
 def _region(name: str, attributes: str) -> int:
-    """-1: left out, 1: begins the main text, 0: neither."""
-    if name == "article":
-        kind = MAIN
-    elif name == "main":
-        kind = MAIN
-    else:
-        kind = -1 if name in _LEFT_OUT else 0
+    """-1: left out, -2: left out, but for an article in it, 1: begins the main text, 0: neither."""
+    if name in ("article", "main"):
+        return MAIN
+    kind = -1 if name in _LEFT_OUT else OPEN
     if attributes:
         for key, value in _ATTRIBUTE.findall(attributes):
             key, words = key.lower(), set(_WORD.findall(value.lower()))
             if key == "role":
                 kind = -1 if words & _ROLES else MAIN if "main" in words else kind
-            elif key in ("class", "id") and words & _NAMES and name not in ("body", "html", "main"):
-                return -1
+            elif key in ("class", "id") and name not in ("body", "html") and (names := _left_out(value)):
+                return WRAPPER if name not in _LEFT_OUT and not names & _NO_STORY else -1
             elif key == "itemprop" and "articlebody" in words:
                 kind = MAIN
     return kind
 
 
 def read_blocks(page: str) -> tuple[list[str], bool]:
-    """The blocks of text in page order and whether they are the page's main text (else they are undecided)."""
+    """The blocks of text in page order and whether they are the page's main text (else they are undecided).
+
+    Main text is that of the articles, with the rest of the main regions if it is longer (an article may be a teaser); where
+    these give no text, that of the articles in wrappers named like a region to leave out.
+    """
     blocks: list[tuple[int, str]] = []
     piece: list[str] = []
     left_out, depth = "", 0  # the element of the region left out, and how many of its name are open in it
-    mains: list[list] = []  # [name, open elements of that name] of each enclosing main region
-    best = OPEN  # the closest kind of main region seen: 2 an article, 1 any other
+    wrapper, wrapped = False, ["", 0]  # whether that region may hold an article, and the open wrapper of one
+    mains: list[list] = []  # [name, open elements of that name, kind] of each enclosing main region
+    decided = False
     at = 0
 
     def close() -> None:
@@ -95,7 +120,7 @@ def read_blocks(page: str) -> tuple[list[str], bool]:
             text = " ".join(entities.unescape("".join(piece)).split())
             piece.clear()
             if text:
-                blocks.append((1 + any(m[0] == "article" for m in mains) if mains else OPEN, text))
+                blocks.append((max((m[2] for m in mains), default=OPEN), text))
 
     heading = False
     while True:
@@ -121,7 +146,12 @@ def read_blocks(page: str) -> tuple[list[str], bool]:
         if left_out:
             if left_out == "header" and mains and name in _HEADINGS:
                 heading = not closing
-            if not closing and name in ("article", "main") and left_out in _CLOSED_BY_ARTICLE and not mains:
+            if (
+                not closing
+                and name in ("article", "main")
+                and (left_out in _CLOSED_BY_ARTICLE and not mains or wrapper and all(m[2] != ARTICLE for m in mains))
+            ):
+                wrapped = [left_out, depth]
                 left_out, heading = "", False
             elif name == left_out:
                 depth += -1 if closing else name not in _VOID
@@ -131,6 +161,10 @@ def read_blocks(page: str) -> tuple[list[str], bool]:
                 continue
             else:
                 continue
+        if name == wrapped[0]:
+            wrapped[1] += -1 if closing else 1
+            if wrapped[1] <= 0:
+                wrapped = ["", 0]
         if closing:
             for k in range(len(mains) - 1, -1, -1):
                 if mains[k][0] == name:
@@ -144,10 +178,11 @@ def read_blocks(page: str) -> tuple[list[str], bool]:
         kind = _region(name, tag[3])
         if kind < 0:
             close()
-            left_out, depth, heading = name, 1, False
+            left_out, depth, heading, wrapper = name, 1, False, kind == WRAPPER
         elif kind == MAIN and not any(m[0] == name for m in mains):
-            mains.append([name, 1])
-            best = max(best, 1 + any(m[0] == "article" for m in mains))
+            within = max((m[2] for m in mains), default=WRAPPED)
+            mains.append([name, 1, within if wrapped[0] else ARTICLE if name == "article" else OTHER])
+            decided = True
         else:
             for m in mains:
                 if m[0] == name:
@@ -155,7 +190,11 @@ def read_blocks(page: str) -> tuple[list[str], bool]:
     if at < len(page) and not left_out:
         piece.append(page[at:])
     close()
-    return [text for kind, text in blocks if kind == best], best > OPEN
+    if not decided:
+        return [text for _, text in blocks], False
+    length = [sum(len(text) for kind, text in blocks if kind == k) for k in range(ARTICLE + 1)]
+    least = ARTICLE if length[ARTICLE] and length[ARTICLE] >= length[OTHER] else OTHER if length[OTHER] else WRAPPED
+    return [text for kind, text in blocks if kind >= least], True
 
 
 def covered(streams: list[list[str]], run: int = RUN, pages: int = PAGES) -> list[np.ndarray]:
