@@ -198,6 +198,26 @@ def test_repeated_runs_go_from_undecided_pages(spark):
     assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def _extracted(spark, rows):
+    got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(got) == len(rows)
+    return {r["page_id"]: r["text"] for r in got}
+
+
+def _words(k, n=20):
+    return " ".join(f"w{k}x{j}" for j in range(n))
+
+
+LINE = "read more stories like this one in our daily letter"
+
+
+def test_repetition_inside_articles(spark):
+    rows = [(k, f"http://a.example/{k}", f"<article><p>{_words(k)}</p><p>{LINE}</p></article>") for k in range(3)]
+    rows += [(3 + k, "http://c.example/", f"<article><p>{_words(3, 60)} {k}</p></article>") for k in range(2)]  # a story of two pages
+    want = {k: _words(k) for k in range(3)} | {3 + k: f"{_words(3, 60)} {k}" for k in range(2)}
+    assert _extracted(spark, rows) == want
+
+
 def test_coverage_against_brute_force():
     rng = np.random.default_rng(5)
     streams = [[str(x) for x in rng.integers(0, 4, 60)] for _ in range(6)]

@@ -1,14 +1,17 @@
 """Main text of web pages: structure first, then a suffix array over the token streams of each host.
 
 The markup is read once, without building a tree. Regions that are menus, headers, footers, sidebars, notices, adverts,
-forms or reader comments by element, role, class or id are left out. A page with an article (or a main element) then has
-its text. What is left of any other page is undecided: these pages' tokens are concatenated by host, a suffix array
-ordered to the depth of RUN tokens finds the runs of that length which occur on PAGES or more distinct pages, tokens that
-such runs cover are removed as boilerplate, and the blocks keep their unique runs. Text inside an article is never judged
-by repetition: a story that two pages carry is still the main text of both.
+forms or reader comments by element, role, class or id are left out. Of a page with an article (or a main element) its text
+stays; any other page is undecided, and all its blocks stay. The token streams of all pages then go through suffix arrays
+ordered to the depth of RUN tokens, which give the runs of that length and the distinct pages of each. Their counts are
+summed over the whole host, and tokens that a run on PAGES or more distinct pages covers are removed as boilerplate.
 
-A host's undecided pages are dealt to groups of a bounded number of pages, so a host of any size is worked on by many
-tasks; boilerplate, which is on most pages of a host, repeats within each of them.
+A main text of which such runs cover NEAR or more is a story that near-duplicate pages carry. It loses only the runs that are
+on more than twice as many pages as the middle one of its repeated runs. Pages of a host with equal blocks are one page.
+
+Pages are dealt to groups of about GROUP_PAGES by a digest of host and blocks, so equal pages meet and a host of any size is
+worked on by many tasks. Each group gives fingerprints and counts of its runs; these are summed by ranges of fingerprints,
+and those of repeated runs go back to the groups that have them.
 
 Defined cases: a null or empty html gives an empty text; a null url has the empty host; repeated rows are pages of their
 own; nothing is cut, whatever its length. White space is what Unicode calls so, no-break spaces included; a br is white
@@ -17,20 +20,24 @@ space inside its block.
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewright.llm.kernels import U64, mix
 from tidewright.llm.url_filter import split_url
 
-#: Tokens of a repeated run, distinct pages that make it boilerplate, and pages of a host that one group holds.
-RUN, PAGES, GROUP_PAGES = 8, 3, 512
+#: Tokens of a repeated run, distinct pages of a host that make it boilerplate, pages of a group, groups to a range of
+#: fingerprints, and least ranges.
+RUN, PAGES, GROUP_PAGES, RANGE_GROUPS, RANGES = 8, 2, 512, 16, 12
+#: The part of a main text that repeated runs cover where near-duplicate pages carry it.
+NEAR = 0.5
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*'|[\"'])*+)>",
@@ -197,101 +204,186 @@ def read_blocks(page: str) -> tuple[list[str], bool]:
     return [text for kind, text in blocks if kind >= least], True
 
 
-def covered(streams: list[list[str]], run: int = RUN, pages: int = PAGES) -> list[np.ndarray]:
-    """For each page's tokens, which of them a run of so many tokens covers that is on so many pages.
+def _ranked(streams: list[list[str]], hosts: list[int], run: int) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray, np.ndarray]:
+    """Of all streams in a row, each with an end mark: rank of the run at each position, token (an index), tokens, page, sizes.
 
-    The suffix array of all streams together is sorted by prefix doubling, to the depth of the run. A stream ends with a
-    mark of its own, so no run reaches over two pages.
+    The suffix array is sorted by prefix doubling, to the depth of the run. Each end mark is its own and tokens of different
+    hosts differ, so no run reaches over two pages or is equal to one of another host.
     """
-    sizes = np.array([len(s) + 1 for s in streams])
+    sizes = np.array([len(s) + 1 for s in streams], np.int64)
     ids: dict[str, int] = {}
-    flat = np.empty(int(sizes.sum()), np.int64)
+    token = np.full(int(sizes.sum()), -1, np.int64)
     at = 0
-    for k, stream in enumerate(streams):
-        flat[at : at + len(stream)] = [ids.setdefault(t, len(ids)) for t in stream]
-        flat[at + len(stream)] = -1 - k
+    for stream in streams:
+        token[at : at + len(stream)] = [ids.setdefault(t, len(ids)) for t in stream]
         at += len(stream) + 1
+    page, n, depth = np.repeat(np.arange(len(streams)), sizes), len(token), 1
+    flat = np.where(token < 0, -1 - page, token + np.repeat(np.array(hosts, np.int64), sizes) * len(ids))
     rank = np.unique(flat, return_inverse=True)[1]
-    page, n, depth = np.repeat(np.arange(len(streams)), sizes), len(flat), 1
     while depth < run:
         step = min(depth, run - depth)
         following = np.full(n, -1, np.int64)
         following[: n - step] = rank[step:]
-        order = np.lexsort((following, rank))
-        new = np.ones(n, bool)
-        new[1:] = (rank[order][1:] != rank[order][:-1]) | (following[order][1:] != following[order][:-1])
-        fresh = np.empty(n, np.int64)
-        fresh[order] = np.cumsum(new) - 1
-        rank, depth = fresh, depth + step
+        rank = np.unique(rank * (n + 1) + following + 1, return_inverse=True)[1]
+        depth += step
+    return rank, token, list(ids), page, sizes
+
+
+def _first_on_page(rank: np.ndarray, page: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions in order of rank and page, and which of them are the first of their run on their page."""
     order = np.lexsort((page, rank))
-    ranks, on = rank[order], page[order]
-    fresh_page = np.ones(n, bool)
-    fresh_page[1:] = (ranks[1:] != ranks[:-1]) | (on[1:] != on[:-1])
-    frequent = np.bincount(ranks, weights=fresh_page) >= pages
-    begin = np.flatnonzero(frequent[rank])
-    marks = np.zeros(n + run + 1, np.int64)
-    np.add.at(marks, begin, 1)
-    np.add.at(marks, begin + run, -1)
-    hit = np.cumsum(marks)[:n] > 0
-    ends = np.cumsum(sizes)
-    return [hit[e - s : e - 1] for e, s in zip(ends, sizes)]
+    first = np.ones(len(order), bool)
+    first[1:] = (rank[order][1:] != rank[order][:-1]) | (page[order][1:] != page[order][:-1])
+    return order, first
 
 
-def unique_blocks(pages: list[list[str]]) -> list[list[str]]:
-    """The blocks of each page without the tokens that are boilerplate among these pages."""
-    streams = [[t for block in page for t in (*block.split(), "\n")] for page in pages]
-    out = []
-    for stream, hit in zip(streams, covered(streams)):
-        kept, block = [], []
-        for token, boilerplate in zip(stream, hit):
-            if token == "\n":
-                if block:
-                    kept.append(" ".join(block))
-                block = []
-            elif not boilerplate:
-                block.append(token)
-        out.append(kept)
-    return out
-
-
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found = ["\n".join(read_blocks(x.as_py() or "")[0]) for x in batch.column(2)]
-        yield pa.RecordBatch.from_arrays(
-            [*batch.columns[:2], pa.array(found, pa.string()), pa.array([len(t) for t in found], pa.int64())],
-            names=["page_id", "url", "text", "n_chars"],
-        )
+def _cover(begins: np.ndarray, run: int) -> np.ndarray:
+    """Which tokens the runs cover that begin where begins is true."""
+    marks = np.zeros(len(begins) + run, np.int64)
+    marks[: len(begins)] += begins
+    marks[run:] -= begins
+    return np.cumsum(marks)[: len(begins)] > 0
 
 
-def _undecided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found = [read_blocks(x.as_py() or "") for x in batch.column(2)]
-        yield pa.RecordBatch.from_arrays(
-            [*batch.columns[:2], batch.column(3), pa.array([b for b, _ in found], pa.list_(pa.string())), pa.array([d for _, d in found])],
-            names=["page_id", "url", "host", "blocks", "decided"],
-        )
+def covered(streams: list[list[str]], run: int = RUN, pages: int = PAGES) -> list[np.ndarray]:
+    """For each page's tokens, which of them a run of so many tokens covers that is on so many of these pages of a host."""
+    rank, _, _, page, sizes = _ranked(streams, [0] * len(streams), run)
+    order, first = _first_on_page(rank, page)
+    hit = _cover((np.bincount(rank[order], weights=first) >= pages)[rank], run)
+    ends = np.cumsum(sizes)
+    return [hit[e - s : e - 1] for e, s in zip(ends, sizes)]
+
 
+def _hash(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+
+
+def _fingerprints(token: np.ndarray, begin: np.ndarray, seed: np.ndarray) -> np.ndarray:
+    """Of the runs that begin there: a hash of their tokens (given by their hashes) and of the host."""
+    total = seed.copy()
+    for k in range(RUN):
+        total = mix(total * U64(0x9E3779B97F4A7C15) + token[begin + k])
+    return total
+
+
+def _stream(blocks: list[str]) -> list[str]:
+    return [t for block in blocks for t in (*block.split(), "\n")]
+
+
+def runs(pages: list[tuple[str, list[str]]]) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprints of the runs on these pages (host and blocks), in order, and on how many distinct pages each is."""
+    distinct = {(host, *blocks): blocks for host, blocks in pages}
+    names = [host for host, *_ in distinct]
+    numbers: dict[str, int] = {}
+    hosts = [numbers.setdefault(host, len(numbers)) for host in names]
+    rank, token, tokens, page, sizes = _ranked([_stream(b) for b in distinct.values()], hosts, RUN)
+    order, first = _first_on_page(rank, page)
+    counts = np.bincount(rank[order], weights=first).astype(np.uint32)
+    begin = order[np.searchsorted(rank[order], np.arange(len(counts)))]
+    whole = np.flatnonzero(begin + RUN < np.cumsum(sizes)[page[begin]])
+    seeds = np.array([_hash(h) for h in numbers], U64)[np.array(hosts, np.int64)] if hosts else np.zeros(0, U64)
+    hashes = np.array([*map(_hash, tokens), 0], U64)[token]
+    found = _fingerprints(hashes, begin[whole], seeds[page[begin[whole]]])
+    order = np.argsort(found)
+    return found[order], counts[whole][order]
+
+
+def text_without(host: str, blocks: list[str], decided: bool, repeated: np.ndarray, totals: np.ndarray) -> str:
+    """The text of a page without the tokens of repeated runs, whose fingerprints are given in order, with their pages."""
+    stream = _stream(blocks)
+    n = len(stream) - RUN + 1
+    if n < 1 or not len(repeated):
+        return "\n".join(blocks)
+    found = _fingerprints(np.array([_hash(t) for t in stream], U64), np.arange(n), np.full(n, _hash(host), U64))
+    at = np.minimum(np.searchsorted(repeated, found), len(repeated) - 1)
+    on = np.zeros(len(stream), np.int64)
+    on[:n] = np.where(repeated[at] == found, totals[at], 0)
+    hit = _cover(on > 0, RUN)
+    if decided and hit.mean() >= NEAR:
+        hit = _cover(on > 2 * np.median(on[on > 0]), RUN)
+    if not hit.any():
+        return "\n".join(blocks)
+    kept, block = [], []
+    for token, boilerplate in zip(stream, hit):
+        if token == "\n":
+            if block:
+                kept.append(" ".join(block))
+            block = []
+        elif not boilerplate:
+            block.append(token)
+    return "\n".join(kept)
+
+
+def _parse(groups: int):
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [read_blocks(x.as_py() or "") for x in batch.column(3)]
+            parts = [_hash("\n".join((h.as_py(), *b))) % groups for h, (b, _) in zip(batch.column(2), found)]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:3], pa.array([b for b, _ in found], pa.list_(pa.string())), pa.array([d for _, d in found], pa.bool_()), pa.array(parts, pa.int64())],
+                names=["page_id", "url", "host", "blocks", "decided", "part"],
+            )
+
+    return parse
+
+
+def _group_runs(ranges: int):
+    def group_runs(pages: pa.Table) -> pa.Table:
+        found, counts = runs(list(zip(pages["host"].to_pylist(), pages["blocks"].to_pylist())))
+        bounds = np.searchsorted(found, np.array([-(-(k << 64) // ranges) for k in range(ranges)], U64)).tolist() + [len(found)]
+        full = [k for k in range(ranges) if bounds[k] < bounds[k + 1]]
+        return pa.table(
+            {
+                "span": pa.array(full, pa.int64()),
+                "part": pa.array([pages["part"][0].as_py()] * len(full), pa.int64()),
+                "runs": pa.array([found[bounds[k] : bounds[k + 1]].tobytes() for k in full], pa.binary()),
+                "pages": pa.array([counts[bounds[k] : bounds[k + 1]].tobytes() for k in full], pa.binary()),
+            }
+        )
 
-def _unique(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values(["page_id", "url"], na_position="last", kind="stable")
-    blocks = [list(b) for b in rows["blocks"]]
-    decided = rows["decided"].tolist()
-    asked = iter(unique_blocks([b for b, d in zip(blocks, decided) if not d]))
-    texts = ["\n".join(b if d else next(asked)) for b, d in zip(blocks, decided)]
-    return pd.DataFrame({"page_id": rows["page_id"].values, "url": rows["url"].values, "text": texts, "n_chars": [len(t) for t in texts]})
+    return group_runs
+
+
+def _repeated(rows: pa.Table) -> pa.Table:
+    """Of each group's runs in this range, those on PAGES or more pages of all groups, with that number."""
+    each = [np.frombuffer(x.as_py(), U64) for x in rows["runs"]]
+    found, where = np.unique(np.concatenate(each), return_inverse=True)
+    counts = np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in rows["pages"]])
+    totals = np.bincount(where, weights=counts, minlength=len(found)).astype(np.uint32)[where]
+    parts, kept, on, at = [], [], [], 0
+    for part, own in zip(rows["part"].to_pylist(), each):
+        total = totals[at : at + len(own)]
+        at += len(own)
+        often = total >= PAGES
+        if often.any():
+            parts.append(part), kept.append(own[often].tobytes()), on.append(total[often].tobytes())
+    return pa.table({"part": pa.array(parts, pa.int64()), "runs": pa.array(kept, pa.binary()), "pages": pa.array(on, pa.binary())})
+
+
+def _texts(pages: pa.Table, often: pa.Table) -> pa.Table:
+    repeated = np.frombuffer(b"".join(often["runs"].to_pylist()), U64)
+    totals = np.frombuffer(b"".join(often["pages"].to_pylist()), np.uint32)
+    order = np.argsort(repeated)
+    repeated, totals = repeated[order], totals[order]
+    texts = [
+        text_without(h, b, d, repeated, totals)
+        for h, b, d in zip(pages["host"].to_pylist(), pages["blocks"].to_pylist(), pages["decided"].to_pylist())
+    ]
+    return pa.table({"page_id": pages["page_id"], "url": pages["url"], "text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64())})
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """page_id, url, text and n_chars of every row."""
-    rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"))
-    marked = F.col("html").rlike(r"(?i)<(article|main)[\s>/]|role\s*=\s*[\"']?main|articlebody")
-    schema = "page_id long, url string, text string, n_chars long"
-    clear = rows.filter(marked).mapInArrow(_texts, schema)
-    rest = rows.filter(~marked).select("page_id", "url", "html", split_url(F.col("url"))[0].alias("host"))
-    parsed = rest.mapInArrow(_undecided, "page_id long, url string, host string, blocks array<string>, decided boolean")
-    sizes = rest.groupBy("host").agg(F.ceil(F.count("*") / GROUP_PAGES).alias("groups"))
-    grouped = parsed.join(sizes, "host").withColumn("part", F.pmod(F.xxhash64("page_id", "url"), F.col("groups")))
-    return clear.unionAll(grouped.groupBy("host", "part").applyInPandas(_unique, schema))
+    rows = pages.select(
+        F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), split_url(F.col(url))[0].alias("host"), F.coalesce(F.col(html), F.lit("")).alias("html")
+    )
+    groups = max(1, -(-pages.count() // GROUP_PAGES))
+    ranges = max(RANGES, -(-groups // RANGE_GROUPS))
+    parsed = rows.mapInArrow(_parse(groups), "page_id long, url string, host string, blocks array<string>, decided boolean, part long")
+    counted = parsed.groupBy("part").applyInArrow(_group_runs(ranges), "span long, part long, runs binary, pages binary")
+    often = counted.groupBy("span").applyInArrow(_repeated, "part long, runs binary, pages binary")
+    both = parsed.groupBy("part").cogroup(often.groupBy("part"))
+    return both.applyInArrow(_texts, "page_id long, url string, text string, n_chars long")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
