@@ -218,6 +218,17 @@ def test_repetition_inside_articles(spark):
     assert _extracted(spark, rows) == want
 
 
+def test_repetition_is_counted_over_the_whole_host(spark, monkeypatch):
+    rows = [(k, f"http://a.example/{k}", f"<p>{_words(k)}</p><p>{LINE if k % 30 == 0 else ''}</p>") for k in range(60)]
+    rows += [(60 + k, "http://two.example/", f"<div>{LINE}</div><p>{_words(60 + k)}</p>") for k in range(2)]
+    rows += [(62, "http://d.example/", f"<div>{LINE}</div>")] * 2  # one page, twice
+    rows += [(63 + k, f"http://e{k}.example/", f"<div>{LINE}</div>") for k in range(2)]
+    want = {k: _words(k) for k in range(62)} | dict.fromkeys((62, 63, 64), LINE)
+    for size in (3, 512):
+        monkeypatch.setattr(html_text, "GROUP_PAGES", size)
+        assert _extracted(spark, rows) == want
+
+
 def test_coverage_against_brute_force():
     rng = np.random.default_rng(5)
     streams = [[str(x) for x in rng.integers(0, 4, 60)] for _ in range(6)]
