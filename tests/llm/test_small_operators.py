@@ -229,6 +229,12 @@ def test_repetition_is_counted_over_the_whole_host(spark, monkeypatch):
         assert _extracted(spark, rows) == want
 
 
+def test_the_reader_decides_which_pages_are_undecided(spark):
+    marks = ["<script>{'articleBody': 1}</script>", "<!-- <main> -->", "<p title='<article>'></p>"]
+    rows = [(k, "http://f.example/", f"{mark}<div>{LINE}</div><p>{_words(k, 6)}</p>") for k, mark in enumerate(marks)]
+    assert _extracted(spark, rows) == {k: _words(k, 6) for k in range(3)}
+
+
 def test_coverage_against_brute_force():
     rng = np.random.default_rng(5)
     streams = [[str(x) for x in rng.integers(0, 4, 60)] for _ in range(6)]
