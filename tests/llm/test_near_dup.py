@@ -60,6 +60,18 @@ def test_matches_brute_force(spark):
         assert got == brute(rows, width)
 
 
+def test_a_repeated_id_has_the_links_of_all_its_texts(spark):
+    words = [[f"t{k}x{j}" for j in range(40)] for k in range(9)]
+    near = lambda k, n: " ".join([*words[k][:-1], f"n{n}"])
+    rows = [(5, " ".join(words[k])) for k in range(8)] + [(10 + k, near(k, k)) for k in range(8)]  # eight texts under one id, a near copy of each
+    rows += [(3, " ".join(words[8])), (20, " ".join(words[8])), (20, near(7, 20))]  # an id in two classes of others
+    rows += [(30, "alone in the world"), (30, "other words of it")]
+    df = spark.createDataFrame([(d, t, "k", "c") for d, t in rows], SCHEMA).repartition(3)
+    got = sorted((tuple(r) for r in near_dup.group(df, width=2).collect()), key=str)
+    assert got == brute(rows, 2)
+    assert {c for d, _, c, _ in got if d not in (30,)} == {3}
+
+
 def test_keep_one(spark):
     rows = given(3)
     kept = near_dup.keep_one(spark.createDataFrame([(d, t, "k", "c") for d, t in rows], SCHEMA), width=2)

@@ -15,7 +15,8 @@ documents that only share frequent words apart: at a similarity of 0.05 a band i
 
 Defined cases: a null or empty text, or one without words, has an empty set and is linked with nothing; a text of fewer
 words than a shingle is one shingle; repeated rows are copies of each other; a null doc_id is linked with nothing, has no
-component and is kept. Rows that repeat a doc_id with other texts are one node of the graph.
+component and is kept. Rows that repeat a doc_id with other texts are one node of the graph; each of the texts is compared (a
+mark, its hash, tells them apart) and its links are the node's.
 """
 
 from __future__ import annotations
@@ -105,20 +106,21 @@ def _signed(width: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(lo, hi - lo),
+                        batch.column(2).slice(lo, hi - lo),
                         pa.array(sizes, pa.int64()),
                         pa.array(keys, pa.binary()),
                         pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1) * BANDS, pa.int32()), pa.array(found.ravel())),
                     ],
-                    names=["doc_id", "n_shingles", "key", "bands"],
+                    names=["doc_id", "mark", "n_shingles", "key", "bands"],
                 )
 
     return run
 
 
 def signed(docs: DataFrame, width: int, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, n_shingles, a digest of the shingle set, and the band hashes of every row."""
-    slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return slim.mapInArrow(_signed(width), "doc_id long, n_shingles long, key binary, bands array<long>")
+    """doc_id, mark of the text, n_shingles, a digest of the shingle set, and the band hashes of every row."""
+    slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("mark"))
+    return slim.mapInArrow(_signed(width), "doc_id long, mark long, n_shingles long, key binary, bands array<long>")
 
 
 def _shared(width: int):
@@ -144,10 +146,10 @@ def _shared(width: int):
 
 
 def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of which 100 * intersection >= percent * union holds on the full shingle sets."""
-    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    met = pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
+    """The pairs (a, mark_a, b, mark_b), as a and b, of which 100 * intersection >= percent * union holds on the full shingle sets."""
+    left = texts.select(F.col("doc_id").alias("a"), F.col("mark").alias("mark_a"), F.col("text").alias("text_a"))
+    right = texts.select(F.col("doc_id").alias("b"), F.col("mark").alias("mark_b"), F.col("text").alias("text_b"))
+    met = pairs.join(right, ["b", "mark_b"]).join(left, ["a", "mark_a"]).select("a", "b", "text_a", "text_b")
     counted = met.mapInArrow(_shared(width), "a long, b long, both long, either long")
     return counted.filter((100 * F.col("both") >= percent * F.col("either")) & (F.col("both") > 0)).select("a", "b")
 
@@ -236,23 +238,24 @@ def _linked_inside(width: int, percent: int):
     return run
 
 
-def link(reps: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """node and component over the representatives (doc_id, n_shingles, bands), as far as they differ."""
-    entries = reps.select("doc_id", "n_shingles", F.explode("bands").alias("bucket"))
-    shared = entries.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "n_shingles")).alias("c")).filter("n > 1")
+def link(reps: DataFrame, texts: DataFrame, same: DataFrame, width: int, percent: int) -> DataFrame:
+    """node and component over the representatives (doc_id, mark, n_shingles, bands) and given links (a, b), as far as they differ."""
+    entries = reps.select("doc_id", "mark", "n_shingles", F.explode("bands").alias("bucket"))
+    shared = entries.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "mark", "n_shingles")).alias("c")).filter("n > 1")
     members = cut(entries.join(shared.select("bucket", "c"), "bucket"))
     # The texts that verification may ask for are gathered once; what follows only moves those.
-    texts = cut(texts.join(members.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    texts = cut(texts.join(members.select("doc_id", "mark").distinct(), ["doc_id", "mark"], "left_semi").dropDuplicates(["doc_id", "mark"]))
     fits = F.least("n_shingles", "c.n_shingles") * 100 >= F.greatest("n_shingles", "c.n_shingles") * percent
-    pairs = cut(members.filter((F.col("c.doc_id") != F.col("doc_id")) & fits).select(F.col("c.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct())
-    links = cut(verified(pairs, texts, width, percent))
+    ends = [F.col("c.doc_id").alias("a"), F.col("c.mark").alias("mark_a"), F.col("doc_id").alias("b"), F.col("mark").alias("mark_b")]
+    pairs = cut(members.filter((F.col("c.doc_id") != F.col("doc_id")) & fits).select(*ends).distinct())
+    links = cut(verified(pairs, texts, width, percent).unionAll(same.select("a", "b")))
     named = components(links).withColumnRenamed("node", "doc_id")
-    placed = members.select("bucket", "doc_id").join(named, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    placed = members.select("bucket", "doc_id", "mark").join(named, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     sizes = placed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
     open_rows = placed.join(sizes.select("bucket", "n"), "bucket").withColumn("_blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     own = F.pmod(F.xxhash64("doc_id"), F.col("_blocks")).cast("int")
     open_rows = open_rows.withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    blocks = open_rows.select("bucket", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), "doc_id", "component").join(texts, "doc_id")
+    blocks = open_rows.select("bucket", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), "doc_id", "mark", "component").join(texts, ["doc_id", "mark"])
     inside = blocks.groupBy("bucket", "i", "j").applyInArrow(_linked_inside(width, percent), "a long, b long")
     return components(links.unionAll(cut(inside)))
 
@@ -263,10 +266,14 @@ def group(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text"
     filled = F.col("n_shingles") > 0
     usable = every.filter(filled & F.col("doc_id").isNotNull())
     classes = usable.groupBy("key").agg(F.min("doc_id").alias("doc_id"))
-    reps = usable.join(classes, ["key", "doc_id"]).groupBy("doc_id", "key").agg(F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
+    reps = usable.join(classes, ["key", "doc_id"]).groupBy("doc_id", "key").agg(F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.min("mark").alias("mark"))
     reps = cut(reps)
-    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    found = link(reps.select("doc_id", "n_shingles", "bands"), texts, width, percent)
+    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("mark"), F.col(text).alias("text"))
+    # A doc_id with several shingle sets links their classes.
+    several = usable.groupBy("doc_id").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).filter("lo < hi").select("doc_id")
+    same = usable.join(several, "doc_id", "left_semi").select("key", F.col("doc_id").alias("b")).distinct()
+    same = same.join(classes.withColumnRenamed("doc_id", "a"), "key").filter("a < b").select("a", "b")
+    found = link(reps.select("doc_id", "mark", "n_shingles", "bands"), texts, same, width, percent)
     named = reps.select("key", "doc_id").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     named = cut(named.select("key", F.coalesce("component", "doc_id").alias("component_id")))
     linked = usable.select("key", "doc_id", "n_shingles").join(named, "key").select("doc_id", "n_shingles", "component_id")
