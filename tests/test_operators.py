@@ -310,3 +310,11 @@ def test_streams(spark, sf_dir, tmp_path):
     assert got.agg(F.sum("n")).first()[0] == events.count()
     pages = spark.readStream.schema("page_id long, url string, html string").parquet(sf_dir, pathGlobFilter="pages.parquet")
     assert scoring.drained(scoring.scored(pages.select("page_id", "url"), "url"), "scored_test", str(tmp_path / "k2")).count() > 0
+
+
+def test_random_case_keeps_characters_without_a_one_character_case(spark):
+    text = "Straße ŉ İ " * 20
+    rows = spark.createDataFrame([(k, text) for k in range(5)], "k long, t string")
+    for (mixed,) in rows.select(tampers.random_case("t", "k")).collect():
+        assert len(mixed) == len(text) and mixed != text
+        assert [c for c in mixed if c in "ßŉİ"] == [c for c in text if c in "ßŉİ"]

@@ -69,8 +69,12 @@ def base64_param(s: Column | str) -> Column:
 
 
 def random_case(s: Column | str, key: Column | str, seed: int = 42) -> Column:
-    """Each character in upper or lower case by a coin of the row and the place."""
-    return F.array_join(F.transform(characters(s), lambda c, k: F.when(uniform(seed, col(key), k) > 0.5, F.upper(c)).otherwise(F.lower(c))), "")
+    """Each character in upper or lower case by a coin of the row and the place; one whose other case is not one character stays."""
+
+    def one(c: Column, other: Column) -> Column:
+        return F.when(F.length(other) == 1, other).otherwise(c)
+
+    return F.array_join(F.transform(characters(s), lambda c, k: F.when(uniform(seed, col(key), k) > 0.5, one(c, F.upper(c))).otherwise(one(c, F.lower(c)))), "")
 
 
 def partial_url_encode(s: Column | str, key: Column | str, seed: int = 42) -> Column:
