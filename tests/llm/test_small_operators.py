@@ -168,6 +168,16 @@ def test_regions_and_blocks():
     assert html_text.read_blocks("") == ([], False)
 
 
+def test_copies_beyond_a_group_are_one_page(spark, monkeypatch):
+    monkeypatch.setattr(html_text, "GROUP_PAGES", 16)
+    story = f"<p>{_words(0)}</p><p>{LINE}</p>"
+    rows = [(k, f"http://h.example/{k % 2}", story) for k in range(90)]
+    want = dict.fromkeys(range(90), f"{_words(0)}\n{LINE}")
+    assert _extracted(spark, rows) == want
+    rows += [(90, "http://h.example/9", f"<p>{_words(1)}</p><p>{LINE}</p>")]
+    assert _extracted(spark, rows) == dict.fromkeys(range(90), _words(0)) | {90: _words(1)}
+
+
 def test_names_leave_out_no_article():
     for page in (
         '<div class="layout has-sidebar"><div>x</div><article><p>story</article></div>',
@@ -243,7 +253,7 @@ def test_coverage_against_brute_force():
         for k, s in enumerate(streams):
             for i in range(len(s) - run + 1):
                 seen.setdefault(tuple(s[i : i + run]), set()).add(k)
-        for s, hit in zip(streams, html_text.covered(streams, run, pages)):
+        for s, hit in zip(streams, html_text.covered([" ".join(s) for s in streams], run, pages)):
             want = np.zeros(len(s), bool)
             for i in range(len(s) - run + 1):
                 if len(seen[tuple(s[i : i + run])]) >= pages:

@@ -10,8 +10,13 @@ A main text of which such runs cover NEAR or more is a story that near-duplicate
 on more than twice as many pages as the middle one of its repeated runs. Pages of a host with equal blocks are one page.
 
 Pages are dealt to groups of about GROUP_PAGES by a digest of host and blocks, so equal pages meet and a host of any size is
-worked on by many tasks. Each group gives fingerprints and counts of its runs; these are summed by ranges of fingerprints,
-and those of repeated runs go back to the groups that have them.
+worked on by many tasks. Runs meet in ranges of their fingerprints, in two passes. The first one sends 32 bits of each run
+beyond its range, with its pages, and learns which may be repeated; the second one sends 128 bits of those alone. The pages of
+the runs that are then repeated go back to the groups that have them. A range holds RANGE_GROUPS groups' runs, whatever the
+input, so the share of runs that the first pass takes for repeated by chance does not grow.
+
+Copies of one page of which there are more than a group holds (by a digest of host and html) are dealt to several groups; the
+copies of one of these groups count for the page (about GROUP_PAGES copies; none with probability e^-GROUP_PAGES).
 
 Defined cases: a null or empty html gives an empty text; a null url has the empty host; repeated rows are pages of their
 own; nothing is cut, whatever its length. White space is what Unicode calls so, no-break spaces included; a br is white
@@ -30,12 +35,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewright.llm import kernels
 from tidewright.llm.kernels import U64, mix
 from tidewright.llm.url_filter import split_url
 
 #: Tokens of a repeated run, distinct pages of a host that make it boilerplate, pages of a group, groups to a range of
 #: fingerprints, and least ranges.
 RUN, PAGES, GROUP_PAGES, RANGE_GROUPS, RANGES = 8, 2, 512, 16, 12
+#: A page has copies in several groups from more than a group's pages on, and from this part of all pages: so at most as many
+#: pages as its inverse have, and the table of them can be sent to every executor.
+HOT_SHARE = 1e-4
 #: The part of a main text that repeated runs cover where near-duplicate pages carry it.
 NEAR = 0.5
 _TAG = re.compile(
@@ -204,37 +213,64 @@ def read_blocks(page: str) -> tuple[list[str], bool]:
     return [text for kind, text in blocks if kind >= least], True
 
 
-def _ranked(streams: list[list[str]], hosts: list[int], run: int) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray, np.ndarray]:
-    """Of all streams in a row, each with an end mark: rank of the run at each position, token (an index), tokens, page, sizes.
+def _hash(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+
 
-    The suffix array is sorted by prefix doubling, to the depth of the run. Each end mark is its own and tokens of different
-    hosts differ, so no run reaches over two pages or is equal to one of another host.
+class Streams:
+    """The token streams of some pages in a row: words and line ends (one after each block), and what runs begin at each.
+
+    hosts: a number for each page; runs of different hosts are never equal, and no run reaches over two pages.
     """
-    sizes = np.array([len(s) + 1 for s in streams], np.int64)
-    ids: dict[str, int] = {}
-    token = np.full(int(sizes.sum()), -1, np.int64)
-    at = 0
-    for stream in streams:
-        token[at : at + len(stream)] = [ids.setdefault(t, len(ids)) for t in stream]
-        at += len(stream) + 1
-    page, n, depth = np.repeat(np.arange(len(streams)), sizes), len(token), 1
-    flat = np.where(token < 0, -1 - page, token + np.repeat(np.array(hosts, np.int64), sizes) * len(ids))
-    rank = np.unique(flat, return_inverse=True)[1]
-    while depth < run:
-        step = min(depth, run - depth)
-        following = np.full(n, -1, np.int64)
-        following[: n - step] = rank[step:]
-        rank = np.unique(rank * (n + 1) + following + 1, return_inverse=True)[1]
-        depth += step
-    return rank, token, list(ids), page, sizes
-
-
-def _first_on_page(rank: np.ndarray, page: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions in order of rank and page, and which of them are the first of their run on their page."""
+
+    def __init__(self, texts: pa.Array, hosts: list[str]):
+        seed = np.array([_hash(h) for h in hosts], U64)
+        parts = []
+        for lo, _, data, at in kernels.blocks(texts):
+            words = kernels.Words(data, at, lower=False)
+            lines = np.flatnonzero(data == 10)
+            begin = np.concatenate([words.begin, lines])
+            order = np.argsort(begin, kind="stable")
+            begin = begin[order]
+            page = np.searchsorted(at, begin, "right") - 1
+            ends = np.concatenate([words.end, lines + 1])[order]
+            hashes = np.concatenate([words.hash, np.full(len(lines), 10, U64)])[order]
+            parts.append((begin - at[page], ends - at[page], hashes, page + lo))
+        none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U64), np.zeros(0, np.int64))
+        self.begin, self.end, self.token, self.page = (np.concatenate(c) for c in zip(*parts)) if parts else none
+        self.edges = np.searchsorted(self.page, np.arange(len(hosts) + 1))
+        self.seed = seed[self.page] if len(self.page) else np.zeros(0, U64)
+
+    def whole(self, run: int = RUN) -> np.ndarray:
+        """Where a run begins that ends on the same page."""
+        return np.flatnonzero(np.arange(len(self.page)) + run <= self.edges[self.page + 1])
+
+    def ranks(self, run: int = RUN) -> np.ndarray:
+        """The rank of the run at each position (shorter at the end of a page): the suffix array by prefix doubling, to that depth."""
+        n, stop = len(self.page), self.edges[self.page + 1]
+        rank, depth = np.unique(mix(self.token ^ self.seed), return_inverse=True)[1], 1
+        while depth < run:
+            step = min(depth, run - depth)
+            at = np.arange(n) + step
+            following = np.where(at < stop, rank[np.minimum(at, n - 1)], -1)
+            rank = np.unique(rank * (n + 1) + following + 1, return_inverse=True)[1]
+            depth += step
+        return rank
+
+    def prints(self, begin: np.ndarray, salt: int = 0) -> np.ndarray:
+        """64 bits for each run that begins there: a hash of its tokens and of the host."""
+        total = mix(self.seed[begin] + U64(salt))
+        for k in range(RUN):
+            total = mix(total * U64(0x9E3779B97F4A7C15) + self.token[begin + k])
+        return total
+
+
+def _pages_of(rank: np.ndarray, page: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """On how many of the pages that count each rank is."""
     order = np.lexsort((page, rank))
     first = np.ones(len(order), bool)
     first[1:] = (rank[order][1:] != rank[order][:-1]) | (page[order][1:] != page[order][:-1])
-    return order, first
+    return np.bincount(rank[order], weights=first & counts[page[order]]).astype(np.uint32)
 
 
 def _cover(begins: np.ndarray, run: int) -> np.ndarray:
@@ -245,145 +281,209 @@ def _cover(begins: np.ndarray, run: int) -> np.ndarray:
     return np.cumsum(marks)[: len(begins)] > 0
 
 
-def covered(streams: list[list[str]], run: int = RUN, pages: int = PAGES) -> list[np.ndarray]:
-    """For each page's tokens, which of them a run of so many tokens covers that is on so many of these pages of a host."""
-    rank, _, _, page, sizes = _ranked(streams, [0] * len(streams), run)
-    order, first = _first_on_page(rank, page)
-    hit = _cover((np.bincount(rank[order], weights=first) >= pages)[rank], run)
-    ends = np.cumsum(sizes)
-    return [hit[e - s : e - 1] for e, s in zip(ends, sizes)]
+def covered(texts: list[str], run: int = RUN, pages: int = PAGES) -> list[np.ndarray]:
+    """For the tokens of each page of one host, which a run of so many tokens covers that is on so many of these pages."""
+    streams = Streams(pa.array(texts, pa.string()), [""] * len(texts))
+    rank, begins = streams.ranks(run), np.zeros(len(streams.page), bool)
+    whole = streams.whole(run)
+    begins[whole] = (_pages_of(rank, streams.page, np.ones(len(texts), bool)) >= pages)[rank[whole]]
+    return np.split(_cover(begins, run), streams.edges[1:-1])
 
 
-def _hash(text: str) -> int:
-    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+def _ranges(prints: np.ndarray, ranges: int) -> np.ndarray:
+    """The range of each fingerprint: the upper half of its product with the number of ranges."""
+    low = (prints & U64(0xFFFFFFFF)) * U64(ranges) >> U64(32)
+    return ((prints >> U64(32)) * U64(ranges) + low >> U64(32)).astype(np.int64)
 
 
-def _fingerprints(token: np.ndarray, begin: np.ndarray, seed: np.ndarray) -> np.ndarray:
-    """Of the runs that begin there: a hash of their tokens (given by their hashes) and of the host."""
-    total = seed.copy()
-    for k in range(RUN):
-        total = mix(total * U64(0x9E3779B97F4A7C15) + token[begin + k])
-    return total
-
-
-def _stream(blocks: list[str]) -> list[str]:
-    return [t for block in blocks for t in (*block.split(), "\n")]
-
-
-def runs(pages: list[tuple[str, list[str]]]) -> tuple[np.ndarray, np.ndarray]:
-    """Fingerprints of the runs on these pages (host and blocks), in order, and on how many distinct pages each is."""
-    distinct = {(host, *blocks): blocks for host, blocks in pages}
-    names = [host for host, *_ in distinct]
-    numbers: dict[str, int] = {}
-    hosts = [numbers.setdefault(host, len(numbers)) for host in names]
-    rank, token, tokens, page, sizes = _ranked([_stream(b) for b in distinct.values()], hosts, RUN)
-    order, first = _first_on_page(rank, page)
-    counts = np.bincount(rank[order], weights=first).astype(np.uint32)
-    begin = order[np.searchsorted(rank[order], np.arange(len(counts)))]
-    whole = np.flatnonzero(begin + RUN < np.cumsum(sizes)[page[begin]])
-    seeds = np.array([_hash(h) for h in numbers], U64)[np.array(hosts, np.int64)] if hosts else np.zeros(0, U64)
-    hashes = np.array([*map(_hash, tokens), 0], U64)[token]
-    found = _fingerprints(hashes, begin[whole], seeds[page[begin[whole]]])
-    order = np.argsort(found)
-    return found[order], counts[whole][order]
-
-
-def text_without(host: str, blocks: list[str], decided: bool, repeated: np.ndarray, totals: np.ndarray) -> str:
-    """The text of a page without the tokens of repeated runs, whose fingerprints are given in order, with their pages."""
-    stream = _stream(blocks)
-    n = len(stream) - RUN + 1
-    if n < 1 or not len(repeated):
-        return "\n".join(blocks)
-    found = _fingerprints(np.array([_hash(t) for t in stream], U64), np.arange(n), np.full(n, _hash(host), U64))
-    at = np.minimum(np.searchsorted(repeated, found), len(repeated) - 1)
-    on = np.zeros(len(stream), np.int64)
-    on[:n] = np.where(repeated[at] == found, totals[at], 0)
-    hit = _cover(on > 0, RUN)
-    if decided and hit.mean() >= NEAR:
-        hit = _cover(on > 2 * np.median(on[on > 0]), RUN)
-    if not hit.any():
-        return "\n".join(blocks)
-    kept, block = [], []
-    for token, boilerplate in zip(stream, hit):
-        if token == "\n":
-            if block:
-                kept.append(" ".join(block))
-            block = []
-        elif not boilerplate:
-            block.append(token)
-    return "\n".join(kept)
+def _within(prints: np.ndarray, ranges: int) -> np.ndarray:
+    """32 bits of a fingerprint beyond its range, ascending inside a range."""
+    return (prints * U64(ranges) >> U64(32)).astype(np.uint32)
 
 
-def _parse(groups: int):
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [read_blocks(x.as_py() or "") for x in batch.column(3)]
-            parts = [_hash("\n".join((h.as_py(), *b))) % groups for h, (b, _) in zip(batch.column(2), found)]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:3], pa.array([b for b, _ in found], pa.list_(pa.string())), pa.array([d for _, d in found], pa.bool_()), pa.array(parts, pa.int64())],
-                names=["page_id", "url", "host", "blocks", "decided", "part"],
-            )
+def _planes(values: np.ndarray) -> bytes:
+    """Numbers, their bytes gathered by place, compressed; small ones take little room."""
+    raw = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T.tobytes()
+    return kernels.packed(raw)
 
-    return parse
+
+def _numbers(blob: bytes, kind: str) -> np.ndarray:
+    raw = np.frombuffer(kernels.unpacked(blob), np.uint8)
+    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def _distinct(pages: pa.Table) -> tuple[Streams, np.ndarray]:
+    """The streams of the distinct pages of a group, and which of them count here."""
+    seen: dict[tuple[str, bytes], bool] = {}
+    for host, text, counts in zip(*(pages[c].to_pylist() for c in ("host", "text", "counts"))):
+        seen[host, text] = seen.get((host, text), False) or counts
+    return Streams(pa.array([kernels.unpacked(t) for _, t in seen], pa.binary()), [h for h, _ in seen]), np.array(list(seen.values()), bool)
+
+
+def _messages(spans: list[int], parts: list[int], runs: list[bytes], pages: list[bytes]) -> pa.Table:
+    return pa.table({"span": pa.array(spans, pa.int64()), "part": pa.array(parts, pa.int64()), "runs": pa.array(runs, pa.binary()), "pages": pa.array(pages, pa.binary())})
+
+
+_MESSAGE = "span long, part long, runs binary, pages binary"
+
+
+def _cuts(found: np.ndarray, ranges: int) -> list[tuple[int, slice]]:
+    """The ranges that have some of these ascending fingerprints, and where."""
+    span = _ranges(found, ranges)
+    edges = np.flatnonzero(np.diff(span, prepend=-1, append=ranges))
+    return [(int(span[a]), slice(a, b)) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())]
 
 
 def _group_runs(ranges: int):
+    """To each range, 32 bits of every distinct run of the group and its pages here."""
+
     def group_runs(pages: pa.Table) -> pa.Table:
-        found, counts = runs(list(zip(pages["host"].to_pylist(), pages["blocks"].to_pylist())))
-        bounds = np.searchsorted(found, np.array([-(-(k << 64) // ranges) for k in range(ranges)], U64)).tolist() + [len(found)]
-        full = [k for k in range(ranges) if bounds[k] < bounds[k + 1]]
-        return pa.table(
-            {
-                "span": pa.array(full, pa.int64()),
-                "part": pa.array([pages["part"][0].as_py()] * len(full), pa.int64()),
-                "runs": pa.array([found[bounds[k] : bounds[k + 1]].tobytes() for k in full], pa.binary()),
-                "pages": pa.array([counts[bounds[k] : bounds[k + 1]].tobytes() for k in full], pa.binary()),
-            }
-        )
+        streams, counts = _distinct(pages)
+        rank, whole = streams.ranks(), streams.whole()
+        on = _pages_of(rank, streams.page, counts)
+        one = np.zeros(len(on), np.int64) - 1
+        one[rank[whole]] = whole
+        has = np.flatnonzero(one >= 0)
+        found, where = np.unique(streams.prints(one[has]), return_inverse=True)
+        on = np.bincount(where, weights=on[has], minlength=len(found)).astype(np.uint32)
+        low, cuts, part = _within(found, ranges), _cuts(found, ranges), pages["part"][0].as_py()
+        return _messages([k for k, _ in cuts], [part] * len(cuts), [_planes(np.diff(low[c], prepend=np.uint32(0))) for _, c in cuts], [_planes(on[c]) for _, c in cuts])
 
     return group_runs
 
 
+def _may_repeat(rows: pa.Table) -> pa.Table:
+    """To each group, which of its runs in this range may be on PAGES or more pages, as bits in its order."""
+    each = [np.cumsum(_numbers(x.as_py(), "<u4"), dtype=np.uint32) for x in rows["runs"]]
+    where = np.unique(np.concatenate(each), return_inverse=True)[1]
+    often = np.bincount(where, weights=np.concatenate([_numbers(x.as_py(), "<u4") for x in rows["pages"]])) >= PAGES
+    bits = np.split(often[where], np.cumsum([len(x) for x in each])[:-1])
+    kept = [(s, p, kernels.packed(np.packbits(b).tobytes()), b"") for s, p, b in zip(rows["span"].to_pylist(), rows["part"].to_pylist(), bits) if b.any()]
+    return _messages(*map(list, zip(*kept))) if kept else _messages([], [], [], [])
+
+
+def _candidates(ranges: int):
+    """To each range, 128 bits of the runs that may be repeated and their pages in this group."""
+
+    def candidates(pages: pa.Table, replies: pa.Table) -> pa.Table:
+        if not len(replies) or not len(pages):
+            return _messages([], [], [], [])
+        streams, counts = _distinct(pages)
+        whole = streams.whole()
+        prints = streams.prints(whole)
+        found, where = np.unique(prints, return_inverse=True)
+        cuts, wanted = dict(_cuts(found, ranges)), np.zeros(len(found), bool)
+        for span, bits in zip(replies["span"].to_pylist(), replies["runs"].to_pylist()):
+            c = cuts[span]
+            wanted[c] = np.unpackbits(np.frombuffer(kernels.unpacked(bits), np.uint8), count=c.stop - c.start)
+        takes = wanted[where]
+        begin, place = whole[takes], where[takes]
+        both = np.stack([found[place], streams.prints(begin, 1)], axis=1)
+        runs, where = np.unique(both, axis=0, return_inverse=True)
+        on = _pages_of(where.ravel(), streams.page[begin], counts)
+        part = pages["part"][0].as_py()
+        out = _cuts(np.ascontiguousarray(runs[:, 0]), ranges)
+        return _messages([k for k, _ in out], [part] * len(out), [runs[c].tobytes() for _, c in out], [_planes(on[c]) for _, c in out])
+
+    return candidates
+
+
 def _repeated(rows: pa.Table) -> pa.Table:
-    """Of each group's runs in this range, those on PAGES or more pages of all groups, with that number."""
-    each = [np.frombuffer(x.as_py(), U64) for x in rows["runs"]]
-    found, where = np.unique(np.concatenate(each), return_inverse=True)
-    counts = np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in rows["pages"]])
-    totals = np.bincount(where, weights=counts, minlength=len(found)).astype(np.uint32)[where]
-    parts, kept, on, at = [], [], [], 0
-    for part, own in zip(rows["part"].to_pylist(), each):
+    """To each group, those of its runs in this range that are on PAGES or more pages of all groups, with that number."""
+    each = [np.frombuffer(x.as_py(), U64).reshape(-1, 2) for x in rows["runs"]]
+    every = np.concatenate(each)
+    order = np.lexsort((every[:, 1], every[:, 0]))
+    new = np.ones(len(order), bool)
+    new[1:] = (every[order][1:] != every[order][:-1]).any(axis=1)
+    where = np.empty(len(order), np.int64)
+    where[order] = np.cumsum(new) - 1
+    totals = np.bincount(where, weights=np.concatenate([_numbers(x.as_py(), "<u4") for x in rows["pages"]])).astype(np.uint32)[where]
+    kept, at = [], 0
+    for span, part, own in zip(rows["span"].to_pylist(), rows["part"].to_pylist(), each):
         total = totals[at : at + len(own)]
         at += len(own)
         often = total >= PAGES
         if often.any():
-            parts.append(part), kept.append(own[often].tobytes()), on.append(total[often].tobytes())
-    return pa.table({"part": pa.array(parts, pa.int64()), "runs": pa.array(kept, pa.binary()), "pages": pa.array(on, pa.binary())})
+            kept.append((span, part, own[often, 0].tobytes(), total[often].tobytes()))
+    return _messages(*map(list, zip(*kept))) if kept else _messages([], [], [], [])
+
+
+def _without(raw: bytes, decided: bool, on: np.ndarray, begin: np.ndarray, end: np.ndarray) -> str:
+    """The text of a page without the tokens of repeated runs; on: the pages of the run that begins at each token, or 0."""
+    hit = _cover(on > 0, RUN)
+    if decided and hit.mean() >= NEAR:
+        hit = _cover(on > 2 * np.median(on[on > 0]), RUN)
+    if not hit.any():
+        return raw[:-1].decode("utf-8", "surrogatepass")
+    kept, block = [], []
+    for gone, a, b in zip(hit.tolist(), begin.tolist(), end.tolist()):
+        if raw[a] == 10:
+            if block:
+                kept.append(b" ".join(block))
+            block = []
+        elif not gone:
+            block.append(raw[a:b])
+    return b"\n".join(kept).decode("utf-8", "surrogatepass")
 
 
 def _texts(pages: pa.Table, often: pa.Table) -> pa.Table:
-    repeated = np.frombuffer(b"".join(often["runs"].to_pylist()), U64)
-    totals = np.frombuffer(b"".join(often["pages"].to_pylist()), np.uint32)
-    order = np.argsort(repeated)
-    repeated, totals = repeated[order], totals[order]
-    texts = [
-        text_without(h, b, d, repeated, totals)
-        for h, b, d in zip(pages["host"].to_pylist(), pages["blocks"].to_pylist(), pages["decided"].to_pylist())
-    ]
+    raw, decided = [kernels.unpacked(t) for t in pages["text"].to_pylist()], pages["decided"].to_pylist()
+    streams = Streams(pa.array(raw, pa.binary()), pages["host"].to_pylist())
+    on = np.zeros(len(streams.page), np.uint32)
+    if len(often):
+        repeated = np.frombuffer(b"".join(often["runs"].to_pylist()), U64)
+        totals = np.frombuffer(b"".join(often["pages"].to_pylist()), np.uint32)
+        order = np.argsort(repeated)
+        repeated, totals, whole = repeated[order], totals[order], streams.whole()
+        prints = streams.prints(whole)
+        at = np.minimum(np.searchsorted(repeated, prints), len(repeated) - 1)
+        on[whole] = np.where(repeated[at] == prints, totals[at], 0)
+    texts = []
+    for k, (a, b) in enumerate(zip(streams.edges[:-1].tolist(), streams.edges[1:].tolist())):
+        if on[a:b].any():
+            texts.append(_without(raw[k], decided[k], on[a:b], streams.begin[a:b], streams.end[a:b]))
+        else:
+            texts.append(raw[k][:-1].decode("utf-8", "surrogatepass"))
     return pa.table({"page_id": pages["page_id"], "url": pages["url"], "text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64())})
 
 
+def _parse(groups: int):
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, GROUP_PAGES):
+                piece = batch.slice(at, GROUP_PAGES)
+                rows = []
+                for host, html, salt in zip(piece.column(2).to_pylist(), piece.column(3).to_pylist(), piece.column(4).to_pylist()):
+                    blocks, decided = read_blocks(html or "")
+                    text = "".join(f"{b}\n" for b in blocks)
+                    rows.append((host, kernels.packed(text.encode("utf-8", "surrogatepass")), decided, salt == 0, (_hash(f"{host}\n{text}") + salt) % groups))
+                kinds = (pa.string(), pa.binary(), pa.bool_(), pa.bool_(), pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [*piece.columns[:2], *(pa.array(list(c), k) for c, k in zip(zip(*rows), kinds))], names=["page_id", "url", "host", "text", "decided", "counts", "part"]
+                )
+
+    return parse
+
+
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """page_id, url, text and n_chars of every row."""
     rows = pages.select(
         F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), split_url(F.col(url))[0].alias("host"), F.coalesce(F.col(html), F.lit("")).alias("html")
     )
-    groups = max(1, -(-pages.count() // GROUP_PAGES))
+    n_pages = pages.count()
+    groups = max(1, -(-n_pages // GROUP_PAGES))
     ranges = max(RANGES, -(-groups // RANGE_GROUPS))
-    parsed = rows.mapInArrow(_parse(groups), "page_id long, url string, host string, blocks array<string>, decided boolean, part long")
-    counted = parsed.groupBy("part").applyInArrow(_group_runs(ranges), "span long, part long, runs binary, pages binary")
-    often = counted.groupBy("span").applyInArrow(_repeated, "part long, runs binary, pages binary")
-    both = parsed.groupBy("part").cogroup(often.groupBy("part"))
-    return both.applyInArrow(_texts, "page_id long, url string, text string, n_chars long")
+    digest = F.xxhash64("host", "html")
+    hot = rows.groupBy(digest.alias("_digest")).count().filter(F.col("count") > max(GROUP_PAGES, int(n_pages * HOT_SHARE)))
+    hot = F.broadcast(hot.select("_digest", F.ceil(F.col("count") / GROUP_PAGES).alias("_groups")))
+    salt = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.coalesce("_groups", F.lit(1)))
+    dealt = rows.withColumn("_digest", digest).join(hot, "_digest", "left").select("page_id", "url", "host", "html", salt.cast("long").alias("salt"))
+    parsed = dealt.mapInArrow(_parse(groups), "page_id long, url string, host string, text binary, decided boolean, counts boolean, part long")
+    counted = parsed.groupBy("part").applyInArrow(_group_runs(ranges), _MESSAGE)
+    maybe = counted.groupBy("span").applyInArrow(_may_repeat, _MESSAGE)
+    asked = parsed.groupBy("part").cogroup(maybe.groupBy("part")).applyInArrow(_candidates(ranges), _MESSAGE)
+    often = asked.groupBy("span").applyInArrow(_repeated, _MESSAGE)
+    return parsed.groupBy("part").cogroup(often.groupBy("part")).applyInArrow(_texts, "page_id long, url string, text string, n_chars long")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

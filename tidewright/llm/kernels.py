@@ -66,6 +66,15 @@ def blocks(column: pa.Array, most: int = BLOCK_BYTES) -> Iterator[tuple[int, int
         lo = hi
 
 
+def packed(raw: bytes) -> bytes:
+    """The bytes compressed, after their number."""
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def unpacked(blob: bytes) -> bytes:
+    return pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), "zstd", asbytes=True) if len(blob) > 8 else b""
+
+
 class Words:
     """The words of a block of texts: begin and end (in bytes), hash, and the range of words of each text."""
 
