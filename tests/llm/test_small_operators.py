@@ -168,6 +168,18 @@ def test_regions_and_blocks():
     assert html_text.read_blocks("") == ([], False)
 
 
+def test_attributes_are_read_as_such():
+    for page in (
+        '<article><p>one <a href="/x?id=comments">two</a> three</p></article>',
+        '<article><p data-id="ad-5">one two three</p></article>',
+        "<article><p title='class=ads' data-class=menu>one two three</p></article>",
+        '<article><p>one <noscript>two</noscript> <math><mi>three</mi></math></p></article>',
+        '<article><p>one <object data="x">two</object> <svg><text>three</text></svg></p></article>',
+    ):
+        assert html_text.read_blocks(page) == (["one two three"], True)
+    assert html_text.read_blocks('<article><p>one</p><p CLASS = "ads">two</p></article>') == (["one"], True)
+
+
 def test_copies_beyond_a_group_are_one_page(spark, monkeypatch):
     monkeypatch.setattr(html_text, "GROUP_PAGES", 16)
     story = f"<p>{_words(0)}</p><p>{LINE}</p>"

@@ -52,7 +52,8 @@ _TAG = re.compile(
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*'|[\"'])*+)>",
     re.S,
 )
-_RAW = {"script", "style", "title", "textarea", "noscript", "template", "iframe", "svg", "math", "object", "select", "noembed"}
+#: Elements whose content is no text of the page: scripts, styles, fields of forms, the page's title, markup not shown.
+_RAW = {"script", "style", "title", "textarea", "template", "iframe", "select", "noembed"}
 _RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in _RAW}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _BLOCK = {
@@ -83,7 +84,7 @@ _NO_STORY = {
 _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: An article that begins inside one of these shows that the region was never closed.
 _CLOSED_BY_ARTICLE = {"nav", "header", "form", "menu", "button"}
-_ATTRIBUTE = re.compile(r"(class|id|role|aria-label|itemprop|hidden)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 _WORD = re.compile(r"[a-z]+")
 MAIN, OPEN, WRAPPER = 1, 0, -2
 #: Kinds of blocks in main text: of an article, of another main region, of one that a region to leave out wraps.
