@@ -1,4 +1,5 @@
 import hashlib
+import math
 import zlib
 
 import numpy as np
@@ -85,28 +86,60 @@ def test_mix(spark):
 # ---------------------------------------------------------------- top-k
 
 
+def best_scores(rows, k=5, every=50):
+    """(query_id, rank, vec_id, score) of rows (id, vector), each with all others."""
+    ready = [(d, [math.floor(256 * x) for x in v]) for d, v in rows if v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    out = []
+    for q, (d, v) in enumerate(ready):
+        if d is None or d % every:
+            continue
+        scores = [(-sum(a * b for a, b in zip(v, w)), e is None, e) for c, (e, w) in enumerate(ready) if c != q]
+        out += [(d, r, e, -s) for r, (s, _, e) in enumerate(sorted(scores, key=lambda x: (x[0], x[1], x[2] or 0))[:k], 1)]
+    return sorted(out, key=str)
+
+
+def searched(spark, rows, parts=3):
+    df = spark.createDataFrame([(d, v, 1, "x") for d, v in rows], "vec_id long, embedding array<double>, rank int, key string").repartition(parts)
+    return sorted((tuple(r) for r in topk.search(df, F.col("vec_id") % 50 == 0, 5).collect()), key=str)
+
+
 def test_topk_against_brute_force(spark):
     rng = np.random.default_rng(3)
     vectors = rng.normal(0, 0.2, (300, 8))
     vectors[20:40] = vectors[20]
-    rows = [(k, [float(x) for x in v], k) for k, v in enumerate(vectors)]
-    rows += [(300, None, 1), (301, [1.0, None], 1), (302, [float("nan")] * 8, 1), (303, [float("inf")] * 8, 1), (304, [], 1), (305, [0.5, 0.5], 1), (None, [1.0] * 8, 1), rows[4]]
-    got = topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank int").repartition(3), F.col("vec_id") % 50 == 0, 5)
-    whole = {k: np.floor(256 * np.array(v)).astype(int) for k, v in {**dict(enumerate(vectors)), 305: [0.5, 0.5] + [0.0] * 6}.items()}
-    want = set()
-    for q in range(0, 300, 50):
-        best = sorted(((-int(whole[q] @ w), k) for k, w in whole.items() if k != q))[:5]
-        want |= {(q, r, k, -s) for r, (s, k) in enumerate(best, 1)}
-    assert {tuple(r) for r in got.collect()} == want
-    assert topk.search(spark.createDataFrame([], "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0, 5).count() == 0
-    one = spark.createDataFrame([(0, [1.0])], "vec_id long, embedding array<double>")
-    assert topk.search(one, F.col("vec_id") % 50 == 0, 5).count() == 0
+    rows = [(k, [float(x) for x in v]) for k, v in enumerate(vectors)]
+    rows += [(300, None), (301, [1.0, None]), (302, [float("nan")] * 8), (303, [float("inf")] * 8), (304, []), (305, [0.5, 0.5]), (None, [1.0] * 8), rows[4]]
+    rows += [(350, []), (100, [0.1] * 8), (-(2**62) - 46, [0.2] * 8), (2**62 + 46, [0.3] * 8), (2**63 - 1, [0.1] * 8)]
+    assert searched(spark, rows) == best_scores(rows)
+    assert searched(spark, []) == [] and searched(spark, [(0, [1.0])]) == [] and searched(spark, [(0, []), (1, [])]) == [(0, 1, 1, 0)]
+
+
+def test_topk_takes_repeated_ids_as_rows(spark):
+    rows = [(50, [1.0, 0.0]), (7, [0.5, 0.0]), (7, [0.25, 0.0]), (8, [0.125, 1.0]), (50, [1.0, 0.0]), (None, [0.5, 0.0])]
+    assert searched(spark, rows) == best_scores(rows)
+
+
+def test_topk_over_many_groups_and_batches(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    centres = rng.normal(0, 1, (6, 4))
+    rows = [(k, [float(x) for x in centres[k // 100] + rng.normal(0, 0.05, 4)]) for k in range(600)]
+    for name, size in (("BLOCK", 8), ("_SIZE", 16), ("SET", 5), ("QUERIES", 4)):
+        monkeypatch.setattr(topk, name, size)
+    assert searched(spark, rows, 2) == best_scores(rows)
+
+
+def test_topk_gives_the_rows_of_its_sql(spark, sf_dir):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{sf_dir}/embeddings.parquet'")
+    assert sorted(tuple(r) for r in topk.query(spark, sf_dir).collect()) == sorted(con.sql(topk.SQL).fetchall())
 
 
 def test_blocks_are_pruned():
     rng = np.random.default_rng(4)
     v = np.concatenate([rng.integers(-3, 4, (900, 6)), rng.integers(50, 60, (100, 6))]).astype(float)
-    _, _, scored = topk.prune(v[-2:], np.arange(1000), v, np.array([998, 999]), 5, block=100)
+    _, _, scored = topk.prune(v[-2:], v, np.array([998, 999]), 5, block=100)
     assert scored < 2 * 10
 
 
