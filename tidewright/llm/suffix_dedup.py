@@ -13,8 +13,10 @@ document) goes. Suffixes only have to be told apart to that depth.
    themselves sorted, again one bucket at a time, by fingerprints of LENGTH bytes and then by document.
 
 Texts travel in chunks of CHUNK_BYTES; a chunk tells a bucket each rank once, with its first place, so a passage that a third
-of all documents share is one entry a chunk and no task ever holds its copies. Fingerprints that decide have 82 (spans) and
-64 (strings) bits. A bucket is ordered by fingerprints, not by bytes: equal strings meet all the same.
+of all documents share is one entry a chunk and no task ever holds its copies. Entries are told apart by 72 (spans) and 64
+(strings) bits within a bucket, and the bucket is that of other bits (of strings, of a second fingerprint). There is a bucket
+for every BUCKET_BYTES, so what shares a bucket by chance does not grow with the input. A bucket is ordered by fingerprints,
+not by bytes: equal strings meet all the same.
 
 Chunks are cut from partitions of the input in the order read, so a lost task is redone alike from its lineage; nothing is
 kept outside Spark's shuffles. Answers carry a mark of the chunk that they were made for.
@@ -51,7 +53,11 @@ _ARROW = pa.schema([("key", pa.int64()), ("kind", pa.int32()), ("chunk", pa.int6
 _LAST_ID = np.iinfo(np.int64).max
 
 
-def span_hash(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+#: Values of bytes for a second, independent fingerprint.
+_OTHER_VALUES = np.random.default_rng(77).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def span_hash(data: np.ndarray, begin: np.ndarray, end: np.ndarray, values: np.ndarray = kernels._VALUES) -> np.ndarray:
     """Fingerprints of byte ranges with ascending beginnings and short ends, worked out a segment of the data at a time."""
     out = np.empty(len(begin), np.uint64)
     longest = int((end - begin).max()) if len(begin) else 0
@@ -64,7 +70,7 @@ def span_hash(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarra
         at = k * _SEGMENT
         part = data[at : at + _SEGMENT + longest]
         prefix = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum(kernels._VALUES[part] * up[: len(part)], out=prefix[1:])
+        np.cumsum(values[part] * up[: len(part)], out=prefix[1:])
         b, e = begin[lo:hi] - at, end[lo:hi] - at
         out[lo:hi] = kernels.mix((prefix[e] - prefix[b]) * down[b] + (e - b).astype(np.uint64))
     return out
@@ -100,10 +106,6 @@ def _bucket(prints: np.ndarray, buckets: int) -> np.ndarray:
     return ((prints >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
-def _edges(sorted_prints: np.ndarray, buckets: int) -> np.ndarray:
-    return np.searchsorted(_bucket(sorted_prints, buckets), np.arange(buckets + 1))
-
-
 def _packed(table: pa.Table) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))) as out:
@@ -164,7 +166,8 @@ class Chunk:
         grams = at[first]
         order = np.argsort(grams, kind="stable")
         prints = np.empty(len(first), np.uint64)
-        prints[order] = span_hash(self.data, grams[order], grams[order] + GRAM)
+        # Sampled suffixes have small fingerprints; mixed again, they fill all buckets alike.
+        prints[order] = kernels.mix(span_hash(self.data, grams[order], grams[order] + GRAM) ^ np.uint64(0x5851F42D4C957F2D))
         return first, following - 1, prints, span_hash(self.data, first, following - 1 + self.length)
 
     def doc_of(self, positions: np.ndarray) -> np.ndarray:
@@ -312,10 +315,14 @@ def _windows(chunk: Chunk, mask: np.ndarray, buckets: int) -> tuple:
     starts = np.flatnonzero(mask)
     prints = span_hash(chunk.data, starts, starts + chunk.length)
     distinct, first, place = np.unique(prints, return_index=True, return_inverse=True)
-    order = np.lexsort((first, _bucket(distinct, buckets)))
+    at = np.sort(starts[first])
+    other = np.empty(len(first), np.uint64)
+    other[np.argsort(first, kind="stable")] = span_hash(chunk.data, at, at + chunk.length, _OTHER_VALUES)
+    bucket = _bucket(other, buckets)
+    order = np.lexsort((first, bucket))
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
-    return starts, rank[place], first[order], distinct[order], _edges(distinct, buckets)
+    return starts, rank[place], first[order], distinct[order], np.searchsorted(bucket[order], np.arange(buckets + 1))
 
 
 def _covered(size: int, first: np.ndarray, last: np.ndarray) -> np.ndarray:
