@@ -104,3 +104,32 @@ def test_bands_are_the_same_alone_and_together():
     s = np.random.default_rng(2).integers(0, 1 << 20, (4, near_dup.SLOTS)).astype(np.uint32)
     assert (near_dup.bands(s)[2] == near_dup.bands(s[2:3])[0]).all()
     assert kernels.mix(np.array([3], np.uint64))[0] != 3
+
+
+def test_stars_and_long_chains(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "HUB_ROWS", 2)
+    monkeypatch.setattr(near_dup, "HUB_SHARE", 0.0)
+    monkeypatch.setattr(near_dup, "FOREST", 5)
+    edges = [(0, k) for k in range(1, 60)] + [(k, 1000) for k in range(100, 160)] + [(k, k + 1) for k in range(200, 240)] + [(500, 500)]
+    rng = random.Random(4)
+    rng.shuffle(edges)
+    found = near_dup.components(spark.createDataFrame([e[:: rng.choice((1, -1))] for e in edges], "a long, b long").repartition(7))
+    want = {k: 0 for k in range(1, 60)} | {k: 100 for k in [*range(101, 160), 1000]} | {k: 200 for k in range(201, 241)}
+    assert {r["node"]: r["component"] for r in found.collect()} == want and found.count() == len(want)
+
+
+def test_one_text_with_very_many_near_copies(spark, monkeypatch):
+    for name, size in (("HUB_ROWS", 4), ("PART_PAIRS", 5), ("BLOCK", 8)):
+        monkeypatch.setattr(near_dup, name, size)
+    words = [f"w{j}" for j in range(60)]
+    rows = [(k, " ".join([*words[:-1], f"n{k}"])) for k in range(40)] + [(100 + k, " ".join(f"v{k}x{j}" for j in range(30))) for k in range(5)]
+    df = spark.createDataFrame([(d, t, "k", "c") for d, t in rows], SCHEMA).repartition(3)
+    assert sorted((tuple(r) for r in near_dup.group(df, width=2).collect()), key=str) == brute(rows, 2)
+
+
+def test_gives_the_rows_of_its_sql(spark, sf_dir):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{sf_dir}/documents.parquet'")
+    assert sorted(tuple(r) for r in near_dup.query(spark, sf_dir).collect()) == sorted(con.sql(near_dup.SQL).fetchall())

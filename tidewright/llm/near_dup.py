@@ -34,8 +34,14 @@ from tidewright.llm.common import cut
 
 BANDS, ROWS = 40, 6
 SLOTS = BANDS * ROWS
+#: A key that has more rows than HUB_ROWS and this part of all is joined by a broadcast.
+HUB_ROWS, HUB_SHARE = 64, 2e-5
+#: Pairs of one text that are verified together.
+PART_PAIRS = 2048
 #: Members of a block, and shingles that are compared at once.
 BLOCK, COLUMNS = 512, 4096
+#: Nodes that a partition's union-find holds at most (and a batch's more).
+FOREST = 500_000
 #: Steps of which only the swaps are kept.
 LAZY_STEPS = 12
 _STEP = np.uint32(24)
@@ -146,18 +152,29 @@ def _shared(width: int):
 
 
 def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, mark_a, b, mark_b), as a and b, of which 100 * intersection >= percent * union holds on the full shingle sets."""
+    """The pairs (a, mark_a, b, mark_b, part), as a and b, of which 100 * intersection >= percent * union holds on the full sets.
+
+    part: a number that spreads the pairs of an a with very many; each part gets its text of a.
+    """
     left = texts.select(F.col("doc_id").alias("a"), F.col("mark").alias("mark_a"), F.col("text").alias("text_a"))
+    left = pairs.select("a", "mark_a", "part").distinct().join(left, ["a", "mark_a"])
     right = texts.select(F.col("doc_id").alias("b"), F.col("mark").alias("mark_b"), F.col("text").alias("text_b"))
-    met = pairs.join(right, ["b", "mark_b"]).join(left, ["a", "mark_a"]).select("a", "b", "text_a", "text_b")
+    met = pairs.join(right, ["b", "mark_b"]).join(left, ["a", "mark_a", "part"]).select("a", "b", "text_a", "text_b")
     counted = met.mapInArrow(_shared(width), "a long, b long, both long, either long")
     return counted.filter((100 * F.col("both") >= percent * F.col("either")) & (F.col("both") > 0)).select("a", "b")
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Union-find over the edges of a partition: each node but a root with the smallest node of its tree."""
+    """Union-find over the edges of a partition: each node but a root with the smallest node of its tree.
+
+    After FOREST nodes what is known is given out and forgotten, so memory is bounded; the rounds that follow join the trees.
+    """
     parent: dict[int, int] = {}
 
+    def trees() -> pa.RecordBatch:
+        found = [(x, r) for x in list(parent) if (r := root(x)) != x]
+        return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["u", "v"])
+
     def root(x: int) -> int:
         while (up := parent.setdefault(x, x)) != x:
             parent[x] = x = parent.setdefault(up, up)
@@ -168,8 +185,22 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             x, y = root(a), root(b)
             if x != y:
                 parent[max(x, y)] = min(x, y)
-    found = [(x, r) for x in list(parent) if (r := root(x)) != x]
-    yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["u", "v"])
+        if len(parent) > FOREST:
+            yield trees()
+            parent.clear()
+    yield trees()
+
+
+def _towards(rows: DataFrame, told: DataFrame, total: int, key: str = "u") -> DataFrame:
+    """The rows with what is told of their key (key, n: rows of the key, and more columns than n, which stays out).
+
+    Keys with very many rows are told by a broadcast: those with more than a part HUB_SHARE of all rows, so that at most as
+    many as its inverse are. The others, of which no partition holds much, are joined by a shuffle.
+    """
+    often = max(HUB_ROWS, int(total * HUB_SHARE))
+    hubs = F.broadcast(told.filter(F.col("n") > often).drop("n"))
+    rest = rows.join(hubs.select(key), key, "left_anti").join(told.filter(F.col("n") <= often).drop("n"), key)
+    return rows.join(hubs, key).unionByName(rest)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -185,11 +216,11 @@ def components(edges: DataFrame) -> DataFrame:
     while before[0]:
         # large-star: the larger neighbours of a node go to its smallest neighbour
         both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        star = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+        star = _towards(both.filter("v > u"), least, 2 * before[0]).select(F.col("v").alias("u"), F.col("m").alias("v"))
         # small-star: the smaller neighbours of a node, and the node, go to the smallest of them
-        least = star.groupBy("u").agg(F.min("v").alias("m"))
-        met = star.join(least, "u")
+        least = star.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        met = _towards(star, least, 2 * before[0])
         now, after = saved(met.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v"))))
         if after == before:
             break
@@ -242,17 +273,20 @@ def link(reps: DataFrame, texts: DataFrame, same: DataFrame, width: int, percent
     """node and component over the representatives (doc_id, mark, n_shingles, bands) and given links (a, b), as far as they differ."""
     entries = reps.select("doc_id", "mark", "n_shingles", F.explode("bands").alias("bucket"))
     shared = entries.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "mark", "n_shingles")).alias("c")).filter("n > 1")
-    members = cut(entries.join(shared.select("bucket", "c"), "bucket"))
+    n_entries = reps.count() * BANDS
+    members = cut(_towards(entries, shared.withColumn("size", F.col("n")), n_entries, "bucket"))
     # The texts that verification may ask for are gathered once; what follows only moves those.
     texts = cut(texts.join(members.select("doc_id", "mark").distinct(), ["doc_id", "mark"], "left_semi").dropDuplicates(["doc_id", "mark"]))
     fits = F.least("n_shingles", "c.n_shingles") * 100 >= F.greatest("n_shingles", "c.n_shingles") * percent
     ends = [F.col("c.doc_id").alias("a"), F.col("c.mark").alias("mark_a"), F.col("doc_id").alias("b"), F.col("mark").alias("mark_b")]
-    pairs = cut(members.filter((F.col("c.doc_id") != F.col("doc_id")) & fits).select(*ends).distinct())
+    pairs = members.filter((F.col("c.doc_id") != F.col("doc_id")) & fits).groupBy(*ends).agg(F.max("size").alias("size"))
+    part = F.pmod(F.xxhash64("b", "mark_b"), F.ceil(F.col("size") / PART_PAIRS))
+    pairs = cut(pairs.select("a", "mark_a", "b", "mark_b", part.alias("part")))
     links = cut(verified(pairs, texts, width, percent).unionAll(same.select("a", "b")))
     named = components(links).withColumnRenamed("node", "doc_id")
     placed = members.select("bucket", "doc_id", "mark").join(named, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     sizes = placed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
-    open_rows = placed.join(sizes.select("bucket", "n"), "bucket").withColumn("_blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    open_rows = _towards(placed, sizes.select("bucket", "n", F.col("n").alias("size")), n_entries, "bucket").withColumn("_blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
     own = F.pmod(F.xxhash64("doc_id"), F.col("_blocks")).cast("int")
     open_rows = open_rows.withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     blocks = open_rows.select("bucket", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), "doc_id", "mark", "component").join(texts, ["doc_id", "mark"])
