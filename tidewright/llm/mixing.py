@@ -7,12 +7,14 @@ of a source ends with at most one open document, and the open documents of many
 until the source has one, which a coin decides. The words that a source takes thus differ from its target by less than
 one document; as large documents meet first, the last open one tends to be small.
 
-Every random choice is a hash of the seed and the ids that meet, and cells are hashes of ids that hold rows in a fixed
-order, so a rerun, on any number of partitions, takes the same.
+Rows alike in id, source and text are counted first (so the copies of one row are one row before they move) and numbered:
+they are interchangeable, and no row needs a key of its own. Every random choice is a hash of the seed and of the two rows
+that meet, and cells are hashes that hold rows in a fixed order, so a rerun, on any number of partitions, takes the same.
 
 Defined cases: a null text has size 0; documents of size 0 take floor(rate) copies of nothing; a null source is a source
 of its own and the last; an empty table gives no rows; a null id is an id of its own. Rows that repeat an id are decided
-one by one. The table of sources is held by the driver: one short row a source.
+one by one, whatever their texts. Texts are known by 96 bits. The table of sources is held by the driver: one short row a
+source.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from tidewright.llm.common import cut
 
@@ -34,7 +37,11 @@ MOST = 2.0
 CELL_ROWS, FAN_IN = 256, 64
 #: Up to so many sources are sent to every executor; more are joined by a shuffle.
 BROADCAST_SOURCES = 10_000
-_STATE = "doc_id long, rnd long, src int, size long, whole long, open double, cell long"
+#: Rows alike that one row of a sequence stands for.
+ALIKE = 1024
+#: What names rows that are alike in id, source and text.
+_KEY = ("_mix_a", "_mix_b")
+_STATE = "_mix_a long, _mix_b int, doc_id long, rnd long, src int, size long, whole long, open double, cell long"
 
 
 def words(text: Column) -> Column:
@@ -81,11 +88,8 @@ def meet(a: tuple[int, float], b: tuple[int, float], u: float) -> tuple[float, f
 
 def _round_cell(seed: int, last: bool):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(
-            ["src", "size", "rnd", "doc_id"], ascending=[True, False, True, True], kind="stable", ignore_index=True
-        )
-        ids = rows["doc_id"].fillna(-1).astype("int64").tolist()
-        src, size = rows["src"].tolist(), rows["size"].tolist()
+        rows = rows.sort_values(["src", "size", "rnd"], ascending=[True, False, True], kind="stable", ignore_index=True)
+        src, size, rnd = rows["src"].tolist(), rows["size"].tolist(), rows["rnd"].tolist()
         whole, rest = rows["whole"].tolist(), rows["open"].tolist()
         held: dict[int, int] = {}
         for k in range(len(rows)):
@@ -95,13 +99,13 @@ def _round_cell(seed: int, last: bool):
             if j is None:
                 held[src[k]] = k
                 continue
-            rest[j], rest[k] = meet((size[j], rest[j]), (size[k], rest[k]), _uniform(seed, src[k], ids[j], ids[k], size[j]))
+            rest[j], rest[k] = meet((size[j], rest[j]), (size[k], rest[k]), _uniform(seed, src[k], rnd[j], rnd[k], size[j]))
             for i in (j, k):
                 if 0 < rest[i] < 1:
                     held[src[i]] = i
         if last:
             for s, k in held.items():
-                rest[k] = float(_uniform(seed, s, ids[k]) < rest[k])
+                rest[k] = float(_uniform(seed, s, rnd[k]) < rest[k])
         closed = [not 0 < r < 1 for r in rest]
         rows["whole"] = [w + round(r) if c else w for w, r, c in zip(whole, rest, closed)]
         rows["open"] = [0.0 if c else r for r, c in zip(rest, closed)]
@@ -110,19 +114,27 @@ def _round_cell(seed: int, last: bool):
     return run
 
 
-def mix(
-    docs: DataFrame,
-    weights: Iterable[float] = WEIGHTS,
-    share: float = SHARE,
-    most: float = MOST,
-    seed: int = 7,
-    text: str = "text",
-    source: str = "source",
-    doc_id: str = "doc_id",
-) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies and taken of every row."""
-    slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).alias("source"), words(F.col(text)).alias("size"))
-    found = slim.groupBy("source").agg(F.sum("size").alias("n"), F.count("*").alias("rows")).collect()
+def _named(docs: DataFrame, text: str, source: str, doc_id: str) -> DataFrame:
+    """The rows with the two columns that name those alike in id, source and text."""
+    of = [F.col(c) for c in (doc_id, source, text)]
+    return docs.withColumn(_KEY[0], F.xxhash64(*of)).withColumn(_KEY[1], F.hash(*reversed(of)))
+
+
+def numbered(rows: DataFrame, count: str, number: str) -> DataFrame:
+    """Each row as often as the column says, with a number from 1; no row holds a long list on the way."""
+    first = rows.withColumn("_first", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(count) - 1) / ALIKE))))
+    few = F.sequence(F.lit(1).cast("long"), F.least(F.lit(ALIKE).cast("long"), F.col(count) - F.col("_first") * ALIKE))
+    each = first.withColumn("_few", F.explode(few))
+    return each.withColumn(number, F.col("_few") + F.col("_first") * ALIKE).drop("_first", "_few")
+
+
+def _decided(docs: DataFrame, weights: Iterable[float], share: float, most: float, seed: int, text: str, source: str, doc_id: str) -> DataFrame:
+    """What mix gives, with the columns that name rows alike."""
+    slim = _named(docs, text, source, doc_id).select(
+        *_KEY, F.col(doc_id).cast("long").alias("doc_id"), F.col(source).alias("source"), words(F.col(text)).alias("size")
+    )
+    classes = cut(slim.groupBy(*_KEY, "doc_id", "source", "size").agg(F.count("*").alias("n")))
+    found = classes.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("n"), F.sum("n").alias("rows")).collect()
     found = sorted(found, key=lambda r: (r["source"] is None, (r["source"] or "").encode()))
     aims = targets([r["n"] for r in found], weights, share, most)
     spark = docs.sparkSession
@@ -136,12 +148,12 @@ def mix(
     known = F.broadcast(known) if len(found) <= BROADCAST_SOURCES else known
     cells = max([1, *(math.ceil(r["rows"] / CELL_ROWS) for r in found)])
     state = (
-        slim.join(known, slim.source.eqNullSafe(known.name))
-        .withColumn("rnd", F.xxhash64("doc_id", F.lit(seed)))
+        numbered(classes, "n", "nth").join(known, classes.source.eqNullSafe(known.name))
+        .withColumn("rnd", F.xxhash64(*_KEY, "nth", F.lit(seed)))
         .withColumn("whole", F.floor("rate"))
         .withColumn("open", F.when(F.col("size") > 0, F.col("rate") - F.col("whole")).otherwise(0.0))
-        .withColumn("cell", F.pmod(F.xxhash64("doc_id", "rnd"), F.col("cells")))
-        .select("doc_id", "rnd", "src", "size", "whole", "open", "cell")
+        .withColumn("cell", F.pmod(F.xxhash64("rnd"), F.col("cells")))
+        .select(*_KEY, "doc_id", "rnd", "src", "size", "whole", "open", "cell")
     )
     level = cut(state.groupBy("src", "cell").applyInPandas(_round_cell(seed, cells == 1), _STATE))
     done = [level.filter("open = 0")]
@@ -154,6 +166,7 @@ def mix(
     for more in done[1:]:
         decided = decided.unionAll(more)
     return decided.join(known, "src").select(
+        *_KEY,
         "doc_id",
         F.col("name").alias("source"),
         "size",
@@ -164,16 +177,44 @@ def mix(
     )
 
 
-def materialise(docs: DataFrame, **options) -> DataFrame:
-    """The documents of the mix, each as often as it is taken; rows that repeat an id and a size share one decision."""
-    taken = mix(docs, **options).filter("copies > 0").groupBy("doc_id", "size").agg(F.max("copies").alias("_copies"))
-    taken = taken.select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), "_copies")
-    text, doc_id = options.get("text", "text"), options.get("doc_id", "doc_id")
-    on = F.col(doc_id).cast("long").eqNullSafe(F.col("_id")) & (words(F.col(text)) == F.col("_size"))
+def mix(
+    docs: DataFrame,
+    weights: Iterable[float] = WEIGHTS,
+    share: float = SHARE,
+    most: float = MOST,
+    seed: int = 7,
+    text: str = "text",
+    source: str = "source",
+    doc_id: str = "doc_id",
+) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies and taken of every row."""
+    return _decided(docs, weights, share, most, seed, text, source, doc_id).drop(*_KEY)
+
+
+def materialise(
+    docs: DataFrame,
+    weights: Iterable[float] = WEIGHTS,
+    share: float = SHARE,
+    most: float = MOST,
+    seed: int = 7,
+    text: str = "text",
+    source: str = "source",
+    doc_id: str = "doc_id",
+) -> DataFrame:
+    """The documents of the mix, each as often as it is taken, with all their columns.
+
+    Rows alike in id, source and text share the copies that they take together as evenly as can be.
+    """
+    taken = _decided(docs, weights, share, most, seed, text, source, doc_id).groupBy(*_KEY).agg(F.sum("copies").alias("_mix_copies"), F.count("*").alias("_mix_n"))
+    # Rows with one name are in one partition and in order after the join, so numbering them moves nothing.
+    place = F.row_number().over(W.partitionBy(*_KEY).orderBy(*_KEY))
+    extra = (place <= F.pmod("_mix_copies", "_mix_n")).cast("long")
     return (
-        docs.join(taken, on)
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
-        .select(*[F.col(c) for c in docs.columns])
+        _named(docs, text, source, doc_id)
+        .join(taken.filter("_mix_copies > 0"), list(_KEY))
+        .withColumn("_mix_times", F.floor(F.col("_mix_copies") / F.col("_mix_n")) + extra)
+        .withColumn("_mix_copy", F.explode(F.expr("CASE WHEN _mix_times > 0 THEN sequence(1, _mix_times) END")))
+        .select(*[F.col(f"`{c}`") for c in docs.columns])
     )
 
 
