@@ -1,8 +1,10 @@
 import hashlib
 import math
 import zlib
+from fractions import Fraction
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -83,6 +85,62 @@ def test_mix(spark):
     assert taken.columns == df.columns and taken.count() == int(out.agg(F.sum("copies")).first()[0])
 
 
+def replayed(rows, seed):
+    """Pivotal rounding of one cell, in fractions: {row number: copies} for rows (number, rnd, source number, size, rate)."""
+    copies = {n: Fraction(math.floor(rate)) for n, _, _, _, rate in rows}
+    rest = {n: Fraction(rate) - math.floor(rate) if size else Fraction(0) for n, _, _, size, rate in rows}
+    info = {n: (rnd, src, size) for n, rnd, src, size, _ in rows}
+    waiting = {}
+    for n in sorted(rest, key=lambda n: (info[n][1], -info[n][2], info[n][0])):
+        if not rest[n]:
+            continue
+        src = info[n][1]
+        if src not in waiting:
+            waiting[src] = n
+            continue
+        m = waiting.pop(src)
+        (ra, _, sa), (rb, _, sb) = info[m], info[n]
+        up = min(sa * (1 - rest[m]), sb * rest[n])  # words that may move to m
+        down = min(sb * (1 - rest[n]), sa * rest[m])  # words that may move to n
+        words = up if mixing._uniform(seed, src, ra, rb, sa) < down / (up + down) else -down
+        rest[m] += words / sa
+        rest[n] -= words / sb
+        for k in (m, n):
+            if rest[k].denominator == 1:
+                copies[k] += rest[k]
+                rest[k] = Fraction(0)
+            else:
+                waiting[src] = k
+    for src, k in waiting.items():
+        copies[k] += mixing._uniform(seed, src, info[k][0]) < rest[k]
+    return {n: int(c) for n, c in copies.items()}
+
+
+def test_one_cell_is_rounded_as_in_plain_fractions():
+    rng = np.random.default_rng(8)
+    for seed in range(30):
+        rates = [Fraction(int(a), 64) for a in rng.integers(0, 128, 3)]
+        rows = [(n, int(rng.integers(0, 2**62)), int(s), int(rng.integers(0, 60)), rates[s]) for n, s in enumerate(rng.integers(0, 3, 40))]
+        given = pd.DataFrame([(n, n, n, rnd, s, size, math.floor(r), float(r - math.floor(r)) if size else 0.0, 0) for n, rnd, s, size, r in rows],
+                             columns=[c.split()[0] for c in mixing._STATE.split(", ")])
+        out = mixing._round_cell(seed, True)(given)
+        assert (out["open"] == 0).all()
+        assert dict(zip(out["doc_id"], out["whole"])) == replayed(rows, seed)
+
+
+def test_rows_alike_share_their_copies(spark):
+    rows = [(1, "a b c", "s1", k) for k in range(80)] + [(None, "x y", "s1", k) for k in range(30)] + [(None, "x y z", None, 1), (2, "", "s1", 1), (2, None, "s2", 1)]
+    rows += [(k, "w " * k, "s2", 1) for k in range(10, 40)]
+    df = spark.createDataFrame(rows, DOCS).repartition(3)
+    decided, taken = mixing.mix(df), mixing.materialise(df)
+    want = {(r["doc_id"], r["source"], r["size"]): r["copies"] for r in decided.groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("copies")).collect() if r["copies"]}
+    got = taken.groupBy("doc_id", "source", mixing.words(F.col("text")).alias("words")).count().collect()
+    assert {(r["doc_id"], r["source"], r["words"]): r["count"] for r in got} == want
+    times = [r["count"] for r in taken.filter("doc_id = 1").groupBy("size").count().collect()]
+    assert max(times) - (min(times) if len(times) == 80 else 0) <= 1
+    assert decided.count() == len(rows)
+
+
 # ---------------------------------------------------------------- top-k
 
 
@@ -335,3 +393,13 @@ def test_pack(spark):
     per = got.groupby("bucket").agg(n=("slot", "size"), size=("bucket_length", "first"), batches=("batch", "nunique"))
     assert (per["batches"] == np.ceil(per["n"] / np.maximum(1, 600 // np.maximum(per["size"], 1)))).all()
     assert packing.pack(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_long_lengths_have_bounds_of_their_own(spark):
+    rows = [(None, None, "s", n) for n in (3, 4097, 70_001, 70_003, 1_000_003)] + [(None, None, "s", 3)] * 300
+    docs = spark.createDataFrame(rows, DOCS)
+    got = packing.pack(docs, buckets=5, length=F.col("size")).toPandas()
+    assert len(got) == len(rows) and (got["padding"] == 0).all()
+    four = packing.pack(docs, buckets=4, length=F.col("size")).toPandas()
+    assert four["padding"].sum() == 2
+    assert sorted(got.loc[got["n_tokens"] == 3, ["batch", "slot"]].itertuples(index=False)) == [divmod(k, 65536 // 3) for k in range(301)]

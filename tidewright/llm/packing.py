@@ -4,8 +4,11 @@ The lengths of all documents are counted; a dynamic programme picks the upper bo
 bound minus length over all documents is the smallest possible. In each bucket, documents in a hashed order form batches
 of as many rows as the token budget holds at the bucket's bound (one at least, also above the budget).
 
-Lengths up to EXACT are counted one by one; longer ones in steps of a 4096th of their octave, rounded up, so the histogram
-on the driver has a bounded size whatever the input. Batches are numbered without gathering a bucket in one task: cells of
+The histogram is exact, one row on the driver for each distinct length. Distinct lengths add up to no more than all tokens, so
+T tokens have fewer than the root of 2 T of them: 6 million at 2 * 10^13 tokens, if lengths up to that all occur.
+
+Lengths are counted once and written to the shared folder, one row for each id and length with its number of rows, so rows of
+a null or repeated id are counted before they move. Batches are numbered without gathering a bucket in one task: cells of
 hashed rows are counted, running totals of those counts give each cell its first position, and rows are numbered in cells.
 
 Defined cases: a null or empty text has length 0; an empty table gives no rows; repeated rows are packed one by one; ids
@@ -14,27 +17,21 @@ may be null. With fewer distinct lengths than buckets each length is a bucket an
 
 from __future__ import annotations
 
+from array import array
 from collections import deque
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tidewright.llm.mixing import words
+from tidewright.llm.common import cut
+from tidewright.llm.mixing import numbered, words
 
 BUCKETS, TOKEN_BUDGET = 16, 65_536
-EXACT = 1 << 12
 #: Rows of a cell, about.
 CELL_ROWS = 512
 
 
-def coarse(length: Column) -> Column:
-    """The length, or above EXACT the next multiple of a 4096th of its octave."""
-    octave = F.floor(F.log2(F.greatest(length, F.lit(1)).cast("double")))
-    step = F.pow(F.lit(2.0), F.greatest(octave - 12, F.lit(0))).cast("long")
-    return F.when(length <= EXACT, length).otherwise((F.ceil(length / step) * step).cast("long"))
-
-
 def boundaries(histogram: list[tuple[int, int, int]], buckets: int = BUCKETS) -> list[int]:
     """The bounds with the least padding, ascending, for (bound, rows, sum of lengths) of each distinct bound.
 
@@ -51,10 +48,10 @@ def boundaries(histogram: list[tuple[int, int, int]], buckets: int = BUCKETS) ->
         total.append(total[-1] + size)
     bound = [0, *(e[0] for e in entries)]
     best = [0] + [bound[j] * count[j] - total[j] for j in range(1, n + 1)]
-    cuts: list[list[int]] = []
+    cuts: list[array] = []
     for _ in range(buckets - 1):
         hull: deque[tuple[int, int, int]] = deque()  # slope, height, entry
-        fresh, came = best[:], [-1] * (n + 1)
+        fresh, came = best[:], array("i", [-1]) * (n + 1)
         for j in range(1, n + 1):
             slope, height = -count[j - 1], best[j - 1] + total[j - 1]
             while len(hull) > 1 and (height - hull[-2][1]) * (hull[-2][0] - hull[-1][0]) <= (hull[-1][1] - hull[-2][1]) * (hull[-2][0] - slope):
@@ -84,18 +81,19 @@ def pack(
 ) -> DataFrame:
     """doc_id, n_tokens, bucket (from 0), bucket_length, batch (from 0 in its bucket), slot (from 0 in its batch), padding.
 
-    length: tokens of a row; without it, words are counted.
+    length: tokens of a row (null: 0); without it, words are counted.
     """
-    size = words(F.col(text)) if length is None else length.cast("long")
-    rows = docs.select(F.col(doc_id).alias("doc_id"), size.alias("n_tokens"))
-    counted = rows.groupBy(coarse(F.col("n_tokens")).alias("bound")).agg(F.count("*").alias("rows"), F.sum("n_tokens").alias("size")).collect()
-    bounds = boundaries([(r["bound"], r["rows"], r["size"]) for r in counted], buckets)
+    size = words(F.col(text)) if length is None else F.coalesce(length.cast("long"), F.lit(0))
+    rows = cut(docs.select(F.col(doc_id).alias("doc_id"), size.alias("n_tokens")).groupBy("doc_id", "n_tokens").agg(F.count("*").alias("_rows")))
+    counted = rows.groupBy("n_tokens").agg(F.sum("_rows").alias("rows")).collect()
+    bounds = boundaries([(r["n_tokens"], r["rows"], r["n_tokens"] * r["rows"]) for r in counted], buckets)
     n_rows = sum(r["rows"] for r in counted)
     spots = F.array(*[F.lit(b).cast("long") for b in bounds]) if bounds else F.array().cast("array<long>")
     placed = (
-        rows.withColumn("bucket", F.size(F.filter(spots, lambda b: b < F.col("n_tokens"))))
+        numbered(rows, "_rows", "_nth").drop("_rows")
+        .withColumn("bucket", F.size(F.filter(spots, lambda b: b < F.col("n_tokens"))))
         .withColumn("bucket_length", F.element_at(spots, F.col("bucket") + 1))
-        .withColumn("_order", F.xxhash64("doc_id", "n_tokens", F.lit(seed)))
+        .withColumn("_order", F.xxhash64("doc_id", "n_tokens", "_nth", F.lit(seed)))
         .withColumn("_cell", F.pmod("_order", F.lit(max(1, -(-n_rows // CELL_ROWS)))))
     )
     cells = placed.groupBy("bucket", "_cell").agg(F.count("*").alias("_n"))
@@ -106,7 +104,7 @@ def pack(
     outer = W.partitionBy("bucket").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
     block = cells.groupBy("bucket", "_block").agg(F.sum("_n").alias("_b")).withColumn("_outer", F.coalesce(F.sum("_b").over(outer), F.lit(0)))
     first = cells.join(block, ["bucket", "_block"]).select("bucket", "_cell", (F.col("_inner") + F.col("_outer")).alias("_first"))
-    within = W.partitionBy("bucket", "_cell").orderBy("_order", "doc_id", "n_tokens")
+    within = W.partitionBy("bucket", "_cell").orderBy("_order", "doc_id", "n_tokens", "_nth")
     at = F.col("_first") + F.row_number().over(within) - 1
     per_batch = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.greatest("bucket_length", F.lit(1)))).cast("long")
     return (
