@@ -227,6 +227,76 @@ def test_payloads_round_trip(spark):
     assert audio.digests(audio.store(df.limit(0))).count() == 0
 
 
+def loop_analysis(samples, rate=16_000, target=8_000):
+    """Frames of log-mel bands and spans, by the definitions: sums over taps, a plain transform, triangles over its power."""
+    g = math.gcd(rate, target)
+    up, down = target // g, rate // g
+    n_taps = audio.TAPS * up
+    taps = [np.sinc((t - (n_taps - 1) / 2) / max(up, down)) * (0.54 - 0.46 * math.cos(2 * math.pi * t / (n_taps - 1))) for t in range(n_taps)]
+    taps = [t * up / sum(taps) for t in taps]
+    x = [int(s) - 128 for s in samples]
+
+    def output(n):
+        """The input with up - 1 zeros after each sample, filtered, at place n * down."""
+        at = n * down
+        return sum(taps[t] * x[(at - t) // up] for t in range(at % up, n_taps, up) if 0 <= (at - t) // up < len(x))
+
+    total = max(1, len(x) * up // down)
+    frames = 1 + max(0, math.ceil((total - audio.FRAME) / audio.HOP))
+    y = np.array([output(n) for n in range((frames - 1) * audio.HOP + audio.FRAME)])
+    turn = np.exp(-2j * np.pi * np.outer(np.arange(audio.FRAME // 2 + 1), np.arange(audio.FRAME)) / audio.FRAME)
+    mel = lambda f: 2595 * math.log10(1 + f / 700)
+    edges = [700 * (10 ** ((mel(60) + k * (mel(target / 2) - mel(60)) / (audio.MELS + 1)) / 2595) - 1) for k in range(audio.MELS + 2)]
+    bands, energy = [], []
+    for k in range(frames):
+        piece = [y[k * audio.HOP + i] * (0.5 - 0.5 * math.cos(2 * math.pi * i / (audio.FRAME - 1))) for i in range(audio.FRAME)]
+        power = np.abs(turn @ piece) ** 2
+        row = []
+        for a, b, c in zip(edges, edges[1:], edges[2:]):
+            weight = [max(0.0, min((f - a) / (b - a), (c - f) / (c - b))) for f in (i * target / audio.FRAME for i in range(audio.FRAME // 2 + 1))]
+            row.append(math.log(sum(w * p for w, p in zip(weight, power)) + 1e-3))
+        bands.append(row)
+        energy.append(math.log(sum(power) + 1e-3))
+    level, spans, k = [e - float(np.median(energy)) for e in energy], [], 0
+    while k < frames:
+        end = k
+        while end < frames and level[end] > audio.CLOSE_AT:
+            end += 1
+        if any(v > audio.OPEN_AT for v in level[k:end]):
+            spans.append((k, end))
+        k = max(end, k + 1)
+    return np.array(bands), spans
+
+
+@pytest.mark.parametrize(("rate", "target"), [(16_000, 8_000), (6_000, 8_000), (11_025, 8_000)])
+def test_features_against_their_definitions(rate, target):
+    rng = np.random.default_rng(11)
+    samples = rng.integers(118, 138, 2200).astype(np.uint8)
+    samples[900:1500] = rng.integers(20, 230, 600)
+    want, spans = loop_analysis(samples.tolist(), rate, target)
+    bands, energy = audio.log_mel(samples, rate, target)
+    assert bands.shape == want.shape and np.abs(bands - want).max() < 2e-2
+    assert audio.spans(energy) == spans and spans
+
+
+def test_tensors_are_stored_and_read_back(spark):
+    texts = ["", "abc" * 40, "long words " * 5000, None]
+    df = spark.createDataFrame([(k, t, "m", 7) for k, t in enumerate(texts)], "doc_id long, text string, media string, spans int")
+    stored = audio.store(df, keep=("doc_id", "media", "spans"))
+    assert stored.columns == ["doc_id", "media", "spans", "n_bytes", "media"]
+    stored = audio.store(df)
+    rows = {r["doc_id"]: r for r in audio.digests(stored).collect()}
+    whole = audio.tensor_table(audio.segments(stored).orderBy("doc_id", "window").toArrow())
+    values, of = whole.column("tensor").combine_chunks().to_numpy_ndarray(), np.array(whole.column("doc_id").to_pylist())
+    assert values.shape[1:] == (audio.WINDOW, audio.MELS)
+    for k, t in enumerate(texts):
+        found = audio.analyse(audio.encode(audio.padded((t or "").encode())))
+        own = values[of == k]
+        assert rows[k]["n_tensors"] == len(own) and rows[k]["tensors_sha256"] == hashlib.sha256(np.ascontiguousarray(own).tobytes()).hexdigest()
+        assert np.allclose(own.reshape(-1, audio.MELS)[: len(found["bands"])], found["bands"])
+        assert [(s["start_ms"], s["end_ms"]) for s in rows[k]["spans"]] == [(a * 16.0, b * 16.0) for a, b in found["spans"]]
+
+
 def test_resampling_and_spans():
     tone = (128 + 100 * np.sin(2 * np.pi * 440 * np.arange(16000) / 16000)).astype(np.uint8)
     out = audio.resample(tone, 0, 8000, 1, 2)

@@ -3,11 +3,13 @@
 The stored form of a row is a whole WAV file: a 44-byte RIFF header and one channel of unsigned 8-bit samples. Everything
 after the encoder works on bytes read back from such files.
 
-`segments` gives one row for each time span with a tensor of one fixed shape (frames, mel bands), which `tensor_table`
-turns into Arrow's fixed-shape tensor type. `query` gives one digest row a document.
+The frames of a file are stored as Arrow fixed-shape tensors of WINDOW frames by MELS bands, each with its time span; what
+`query` tells of a document is read from these tensors and from the spans of the segmentation. `segments` gives the tensors
+themselves, one row each; `tensor_table` gives such rows Arrow's tensor type again, which Spark's schemas do not have.
 
-Defined cases: a null or empty text is a payload of blanks; repeated rows repeat; ids may be null. Long payloads are worked
-through in blocks, so memory does not grow with them beyond the payload itself. Equal payloads give equal values.
+Defined cases: a null or empty text is a payload of blanks; repeated rows repeat; ids may be null; columns to keep may have any
+name, also that of a result, which then follows them. Long payloads are worked through in blocks, so memory does not grow with
+them beyond the payload and its tensors. Equal payloads give equal values.
 """
 
 from __future__ import annotations
@@ -24,6 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewright.llm.common import keeping
+
+#: Files whose tensors are one array.
+FILES = 256
 #: Payloads are padded with blanks to a positive multiple of this many bytes.
 UNIT = 192
 RATE, TARGET_RATE = 16_000, 8_000
@@ -32,8 +38,10 @@ FRAME, HOP, MELS = 256, 128, 20
 TAPS = 12
 #: A span opens at this log energy over the median of the file and stays open down to the second value.
 OPEN_AT, CLOSE_AT = 0.6, 0.2
-#: Frames of a tensor of `segments`, and frames worked on at once.
-WINDOW, BLOCK_FRAMES = 96, 4096
+#: Frames of a tensor, and frames worked on at once.
+WINDOW, BLOCK_FRAMES = 16, 4096
+#: The value of a band in silence, which fills up the last tensor of a file.
+SILENCE = np.float32(np.log(1e-3))
 
 
 def padded(raw: bytes) -> bytes:
@@ -138,57 +146,84 @@ def analyse(media: bytes) -> dict:
     return {"payload": view, "rate": rate, "bands": bands, "energy": energy, "spans": spans(energy)}
 
 
-def _feature(found: dict) -> str:
+def tensors(bands: list[np.ndarray]) -> tuple[pa.ExtensionArray, np.ndarray]:
+    """The frames of some files as fixed-shape tensors, and the number of tensors of each."""
+    count = np.array([-(-len(b) // WINDOW) for b in bands], np.int64)
+    flat = np.full((int(count.sum()) * WINDOW, MELS), SILENCE)
+    for start, b in zip((np.cumsum(count) - count) * WINDOW, bands):
+        flat[start : start + len(b)] = b
+    return _tensor_array(pa.array(flat.ravel())), count
+
+
+def _tensor_array(values: pa.Array) -> pa.ExtensionArray:
+    kind = pa.fixed_shape_tensor(pa.float32(), [WINDOW, MELS], dim_names=["frame", "mel"])
+    return pa.ExtensionArray.from_storage(kind, pa.FixedSizeListArray.from_arrays(values, WINDOW * MELS))
+
+
+def _feature(frames: np.ndarray, found: list[tuple[int, int]]) -> str:
     """A short text: frames, segments and their frames, first span in milliseconds, and the mean of every band."""
     ms = 1000 * HOP / TARGET_RATE
-    first = "-".join(f"{t * ms:.0f}" for t in found["spans"][0]) if found["spans"] else ""
-    mean = ",".join(f"{x:.2f}" for x in found["bands"].mean(axis=0, dtype=np.float64))
-    return f"frames={len(found['bands'])};segments={len(found['spans'])};active={sum(b - a for a, b in found['spans'])};first_ms={first};mel={mean}"
+    first = "-".join(f"{t * ms:.0f}" for t in found[0]) if found else ""
+    mean = ",".join(f"{x:.2f}" for x in frames.mean(axis=0, dtype=np.float64))
+    return f"frames={len(frames)};segments={len(found)};active={sum(b - a for a, b in found)};first_ms={first};mel={mean}"
 
 
 def store(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns of keep, n_bytes (unpadded) and media, the WAV file of the padded text."""
+    columns, names, schema = keeping(docs, keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, FILES):
+                part = batch.slice(at, FILES)
                 raw = [x.as_py() or b"" for x in part.column(len(keep)).cast(pa.binary())]
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns[: len(keep)], pa.array([len(x) for x in raw], pa.int64()), pa.array([encode(padded(x)) for x in raw], pa.binary())],
-                    names=[*keep, "n_bytes", "media"],
+                    names=[*names, "_bytes", "_media"],
                 )
 
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + ", n_bytes long, media binary"
-    return docs.select(*keep, F.col(text)).mapInArrow(run, schema)
+    return docs.select(*columns, F.col(text).alias("_text")).mapInArrow(run, schema + "_bytes long, _media binary").toDF(*keep, "n_bytes", "media")
+
+
+_DIGESTS = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_tensors int, tensors_sha256 string"
+_SPANS = pa.list_(pa.struct([("start_ms", pa.float64()), ("end_ms", pa.float64())]))
 
 
 def digests(stored: DataFrame, keep: tuple[str, ...] = ("doc_id", "n_bytes"), media: str = "media") -> DataFrame:
-    """One row for each stored file: sizes, digests of payload and file, and the feature text."""
-    names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+    """One row for each stored file: sizes, digests of payload, file and tensors, the feature text, and the spans."""
+    columns, names, schema = keeping(stored, keep)
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.string(), _SPANS]
+    results = [c.split()[0] for c in _DIGESTS.split(", ")] + ["spans"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ms = 1000 * HOP / TARGET_RATE
         for batch in batches:
-            rows = []
-            for value in batch.column(len(keep)):
-                file = value.as_py()
-                found = analyse(file)
-                payload = found["payload"]
-                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(file), hashlib.sha256(file).hexdigest(), _feature(found)))
-            columns = [pa.array(list(c), k) for c, k in zip(zip(*rows) if rows else [[]] * len(names), kinds)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *columns], names=[*keep, *names])
-
-    schema = ", ".join(f"`{c}` {stored.schema[c].dataType.simpleString()}" for c in keep)
-    schema += ", payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return stored.select(*keep, media).mapInArrow(run, schema)
+            for at in range(0, batch.num_rows, FILES):
+                part, rows = batch.slice(at, FILES), []
+                files = part.column(len(keep)).to_pylist()
+                found = [analyse(f) for f in files]
+                array, count = tensors([f["bands"] for f in found])
+                frames = array.to_numpy_ndarray().reshape(-1, MELS)
+                for file, f, n, end in zip(files, found, count.tolist(), (np.cumsum(count) * WINDOW).tolist()):
+                    own, payload = frames[end - n * WINDOW : end], f["payload"]
+                    rows.append((
+                        len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(file), hashlib.sha256(file).hexdigest(),
+                        _feature(own[: len(f["bands"])], f["spans"]), n, hashlib.sha256(own.tobytes()).hexdigest(),
+                        [{"start_ms": a * ms, "end_ms": b * ms} for a, b in f["spans"]],
+                    ))
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *(pa.array(list(c), k) for c, k in zip(zip(*rows), kinds))], names=[*names, *results])
+
+    schema += _DIGESTS + ", spans array<struct<start_ms:double,end_ms:double>>"
+    return stored.select(*columns, F.col(media).alias("_media")).mapInArrow(run, schema).toDF(*keep, *results)
 
 
 def segments(stored: DataFrame, keep: tuple[str, ...] = ("doc_id",), media: str = "media") -> DataFrame:
-    """One row for each window of WINDOW frames of a file: start and end in ms, voiced frames, tensor (WINDOW * MELS floats).
+    """One row for each tensor of a file: its number, start and end in ms, real frames, voiced ones, and its WINDOW * MELS values.
 
-    The last window of a file is filled up with the value of silence; frames says how many are real.
+    The last tensor of a file is filled up with the value of silence.
     """
+    columns, names, schema = keeping(stored, keep)
+    results = ["window", "start_ms", "end_ms", "frames", "voiced_frames", "tensor"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ms = 1000 * HOP / TARGET_RATE
@@ -196,36 +231,31 @@ def segments(stored: DataFrame, keep: tuple[str, ...] = ("doc_id",), media: str
             for k, value in enumerate(batch.column(len(keep))):
                 found = analyse(value.as_py())
                 n = len(found["bands"])
-                windows = -(-n // WINDOW)
-                tensor = np.full((windows * WINDOW, MELS), np.float32(np.log(1e-3)))
-                tensor[:n] = found["bands"]
+                array, (windows,) = tensors([found["bands"]])
                 voiced = np.zeros(windows * WINDOW, np.int64)
                 for a, b in found["spans"]:
                     voiced[a:b] = 1
                 at = np.arange(windows)
                 real = np.minimum(n - at * WINDOW, WINDOW)
-                flat = pa.ListArray.from_arrays(pa.array(np.arange(windows + 1) * WINDOW * MELS, pa.int32()), pa.array(tensor.ravel()))
+                flat = pa.ListArray.from_arrays(pa.array(np.arange(windows + 1) * WINDOW * MELS, pa.int32()), array.storage.flatten())
                 yield pa.RecordBatch.from_arrays(
                     [
                         *[pa.concat_arrays([c.slice(k, 1)]).take(pa.array([0] * windows)) for c in batch.columns[: len(keep)]],
                         pa.array(at.astype(np.int32)), pa.array(at * WINDOW * ms), pa.array((at * WINDOW + real) * ms),
                         pa.array(real.astype(np.int32)), pa.array(voiced.reshape(windows, WINDOW).sum(axis=1).astype(np.int32)), flat,
                     ],
-                    names=[*keep, "window", "start_ms", "end_ms", "frames", "voiced_frames", "tensor"],
+                    names=[*names, *results],
                 )
 
-    schema = ", ".join(f"`{c}` {stored.schema[c].dataType.simpleString()}" for c in keep)
-    schema += ", window int, start_ms double, end_ms double, frames int, voiced_frames int, tensor array<float>"
-    return stored.select(*keep, media).mapInArrow(run, schema)
+    schema += "window int, start_ms double, end_ms double, frames int, voiced_frames int, tensor array<float>"
+    return stored.select(*columns, F.col(media).alias("_media")).mapInArrow(run, schema).toDF(*keep, *results)
 
 
 def tensor_table(rows: pa.Table, column: str = "tensor") -> pa.Table:
     """The same table with the column as Arrow's fixed-shape tensors of (WINDOW, MELS)."""
-    kind = pa.fixed_shape_tensor(pa.float32(), [WINDOW, MELS], dim_names=["frame", "mel"])
     flat = rows.column(column).combine_chunks()
-    values = flat.flatten() if len(flat) else pa.array([], pa.float32())
-    storage = pa.FixedSizeListArray.from_arrays(values.cast(pa.float32()), WINDOW * MELS)
-    return rows.set_column(rows.schema.get_field_index(column), pa.field(column, kind), pa.ExtensionArray.from_storage(kind, storage))
+    array = _tensor_array((flat.flatten() if len(flat) else pa.array([], pa.float32())).cast(pa.float32()))
+    return rows.set_column(rows.schema.get_field_index(column), pa.field(column, array.type), array)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -22,12 +22,28 @@ def held_out(doc_id: Column | str = "doc_id") -> Column:
     return F.coalesce(F.crc32(col.cast("string").cast("binary")) % 4 == HELD_OUT_REMAINDER, F.lit(True))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Writes the rows to the shared checkpoint folder of the cluster and goes on from there.
+def keeping(docs: DataFrame, keep: tuple[str, ...]) -> tuple[list[Column], list[str], str]:
+    """Columns to carry through a function under names of their own, whatever they are called: columns, names, schema."""
+    names = [f"_keep_{k}" for k in range(len(keep))]
+    columns = [F.col(f"`{c}`").alias(n) for n, c in zip(names, keep)]
+    return columns, names, "".join(f"{n} {docs.schema[c].dataType.simpleString()}, " for n, c in zip(names, keep))
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: the session's spark.checkpoint.dir.
 
-    The folder is the session's spark.checkpoint.dir. Only where that is unset, as in tests, a temporary one is made.
+    Only where that is unset and the session is a local one, as in tests, a temporary one is made; on a cluster it has to be set.
     """
-    spark = df.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidewright-"))
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if found is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        found = tempfile.mkdtemp(prefix="tidewright-")
+        spark.sparkContext.setCheckpointDir(found)
+    return found
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Writes the rows to the shared folder of the cluster and goes on from there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
