@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.llm import kernels
-from tidewright.llm.common import held_out
+from tidewright.llm.common import held_out, keeping
 
 SAMPLE_POSITIVE, SAMPLE_NEGATIVE = 1500, 2500
 #: Features are hashed to so many weights; a kind is a whole word (0) or a beginning of so many bytes.
@@ -35,6 +35,8 @@ LEAST_DOCS, LEAST_Z, MOST_FEATURES = 4, 4.0, 8192
 #: A sentence ends at . ! ? or a line break, and after so many words.
 SENTENCE_WORDS = 40
 EPOCHS, RATE, PENALTY = 120, 0.15, 2e-5
+#: The largest leak, and the probability from which a sentence offends.
+MOST_LEAK, LEAST = 0.2, 0.5
 _ENDS = np.zeros(256, bool)
 _ENDS[[10, 33, 46, 63]] = True
 
@@ -105,7 +107,7 @@ def fit(texts: list[str], toxic: np.ndarray) -> Model | None:
     pairs = np.concatenate([p for _, p in pieces])
     n_pos = int(toxic.sum())
     n_neg = n_docs - n_pos
-    leak = min(0.2, (n_pos + 0.5) / (n_docs + 1))
+    leak = min(MOST_LEAK, (n_pos + 0.5) / (n_docs + 1))
     if not n_pos or not n_neg:
         return Model(np.zeros(WIDTH + 1, np.float32), -4.0, leak if not n_pos else 0.5)
     slot, positive = pairs % WIDTH, toxic[pairs // WIDTH] > 0
@@ -149,7 +151,7 @@ def fit(texts: list[str], toxic: np.ndarray) -> Model | None:
         move = RATE * (moments[0] / (1 - 0.9**epoch)) / (np.sqrt(moments[1] / (1 - 0.99**epoch)) + 1e-8)
         w = np.maximum(w - move[:-2], 0)
         b = float(np.clip(b - move[-2], -8, -1))
-        off = float(np.clip(off - move[-1], -7, np.log(0.2 / 0.8)))
+        off = float(np.clip(off - move[-1], -7, np.log(MOST_LEAK / (1 - MOST_LEAK))))
     weights = np.zeros(WIDTH + 1, np.float32)
     weights[chosen] = w
     return Model(weights, b, float(1 / (1 + np.exp(-off))))
@@ -174,23 +176,45 @@ def _probabilities(found: Sentences, model: Model) -> np.ndarray:
     return 1 - np.exp(_softplus(model.bias) - _softplus(model.bias + found.evidence(model.weights)))
 
 
-def score(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
-    """The columns of keep and the probability of each row's whole text."""
+def _spans(found: Sentences, p: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sentences of that probability or more, and where they begin and end in the block."""
+    rows = np.flatnonzero(p >= least)
+    last = np.append(found.starts[1:], len(found.begin)) - 1
+    return rows, found.begin[found.starts[rows]], found.end[last[rows]]
+
+
+#: The sentences of a document that offend: bytes and probability.
+_OFFENDING = pa.struct([("begin", pa.int64()), ("end", pa.int64()), ("probability", pa.float64())])
+
+
+def score(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id",), text: str = "text", least: float = LEAST) -> DataFrame:
+    """The columns of keep, the probability of each row's whole text, and its offending sentences in order.
+
+    A column of keep that has the name of one of these two is given under that name all the same, before it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = np.zeros(batch.num_rows)
+            out, counts, spots = np.zeros(batch.num_rows), np.zeros(batch.num_rows, np.int64), []
             for lo, hi, data, at in kernels.blocks(batch.column(len(keep))) if model else ():
                 found = Sentences(data, at)
-                stay = np.log1p(-np.minimum(_probabilities(found, model), 1 - 1e-12))
+                p = _probabilities(found, model)
+                stay = np.log1p(-np.minimum(p, 1 - 1e-12))
                 out[lo:hi] = 1 - (1 - model.leak) * np.exp(np.bincount(found.doc, weights=stay, minlength=hi - lo))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(np.clip(out, 0, 1))], names=[*keep, "score"])
+                rows, begin, end = _spans(found, p, least)
+                doc = found.doc[rows]
+                counts[lo:hi] = np.bincount(doc, minlength=hi - lo)
+                spots.append(pa.StructArray.from_arrays([pa.array(begin - at[doc], pa.int64()), pa.array(end - at[doc], pa.int64()), pa.array(p[rows])], fields=list(_OFFENDING)))
+            every = pa.concat_arrays(spots) if spots else pa.array([], _OFFENDING)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), every)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(np.clip(out, 0, 1)), lists], names=[*inner, "_score", "_offending"])
 
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + ", score double"
-    return docs.select(*keep, text).mapInArrow(run, schema)
+    columns, inner, schema = keeping(docs, keep)
+    schema += "_score double, _offending array<struct<begin:bigint,end:bigint,probability:double>>"
+    return docs.select(*columns, F.col(text).alias("_text")).mapInArrow(run, schema).toDF(*keep, "score", "offending")
 
 
-def offending(docs: DataFrame, model: Model | None, least: float = 0.5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def offending(docs: DataFrame, model: Model | None, least: float = LEAST, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, begin and end (bytes), sentence and probability of every sentence of that probability or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,9 +222,8 @@ def offending(docs: DataFrame, model: Model | None, least: float = 0.5, doc_id:
             for lo, hi, data, at in kernels.blocks(batch.column(1)) if model else ():
                 found = Sentences(data, at)
                 p = _probabilities(found, model)
-                rows = np.flatnonzero(p >= least)
-                last = np.append(found.starts[1:], len(found.begin)) - 1
-                begin, end, doc = found.begin[found.starts[rows]], found.end[last[rows]], found.doc[rows]
+                rows, begin, end = _spans(found, p, least)
+                doc = found.doc[rows]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).take(pa.array(doc + lo)),
@@ -220,5 +243,5 @@ def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = fit(*training_rows(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
     return score(docs, model).select(
-        "doc_id", held_out().alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted")
+        "doc_id", held_out().alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"), "offending"
     )
