@@ -1,15 +1,19 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-Two gated recurrent layers read windows of WINDOW bytes, one forwards and one backwards; at every position their states
-together give a softmax over the languages. A document's probabilities are the mean over all positions of its whole text.
+Two gated recurrent layers read the bytes of a text, one forwards and one backwards; at every position their states together
+give a softmax over the languages. A document's probabilities are the mean over all positions of its whole text.
 The network is trained in numpy by backpropagation through time, every position of a window having its document's label.
 
-It is fitted on the driver on a bounded sample: about SAMPLE_DOCS documents a language, picked by a hash of the id, and of
-each a slice of SLICE characters from a place that the hash picks. Everything is seeded, so the same rows give the same
-network. Prediction reads whole texts.
+A text of up to SEGMENT bytes is read in one go. A longer one is read in segments that go side by side; each begins WARM bytes
+before its first position (and, backwards, after its last), so a state always has seen that much or the text's border. What a
+position is labelled depends on its text alone, not on the texts read along with it.
+
+It is fitted on the driver on a bounded sample: about SAMPLE_DOCS whole documents a language, picked by a hash of the id; each
+step of the training reads windows of WINDOW bytes of them, wherever they fall. Everything is seeded, so the same rows give the
+same network. Prediction reads whole texts.
 
 Defined cases: a null text, or one without a letter, is `und` with score 0.0; without usable labels every row is; rows of a
-null id or language teach nothing; repeated rows are predicted alike.
+null id or language teach nothing; repeated rows are predicted alike; columns of any other name are left as they are.
 """
 
 from __future__ import annotations
@@ -24,14 +28,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.llm import kernels
-from tidewright.llm.common import held_out
+from tidewright.llm.common import held_out, keeping
 
-SAMPLE_DOCS, SLICE = 400, 600
-WINDOW, HIDDEN = 32, 12
+SAMPLE_DOCS = 400
+WINDOW, HIDDEN = 48, 12
 STEPS, BATCH, RATE = 160, 256, 0.02
-#: Windows that go through the network together.
-LANES = 1024
+#: Bytes of a segment, and bytes read before and after it.
+SEGMENT, WARM = 1024, 32
+#: Segments that go through the network together, and their bytes.
+LANES, LANE_BYTES = 1024, 1 << 19
 UNKNOWN = "und"
+#: The pooled score from which the pipeline takes a document's language for known.
+LEAST_SCORE = 0.4
 _LETTER = regex.compile(r"\p{L}")
 
 
@@ -91,18 +99,6 @@ def _back(state: np.ndarray, steps: np.ndarray, kept: list, d_out: np.ndarray) -
     return d_table, d_state
 
 
-def _windows(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes (window, time), how many of them are real, and the row of each window; texts are filled up with blanks."""
-    count = -(-np.diff(at) // WINDOW)
-    doc = np.repeat(np.arange(len(count)), count)
-    begin = at[doc] + (np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)) * WINDOW
-    real = np.minimum(at[doc + 1] - begin, WINDOW)
-    index = begin[:, None] + np.arange(WINDOW)
-    text = kernels._LOWER[data[np.minimum(index, max(len(data) - 1, 0))]] if len(data) else np.zeros((0, WINDOW), np.uint8)
-    text[np.arange(WINDOW) >= real[:, None]] = 32
-    return text, real, doc
-
-
 def _softmax(x: np.ndarray) -> np.ndarray:
     x = np.exp(x - x.max(axis=-1, keepdims=True))
     return x / x.sum(axis=-1, keepdims=True)
@@ -115,25 +111,26 @@ def fit(texts: list[str], languages: list[str], steps: int = STEPS, seed: int =
         return None
     label = np.array([names.index(x) for x in languages])
     data, at = kernels.text_buffers(pa.array(texts, pa.string()))
-    text, real, doc = _windows(data, at)
-    text, doc = text[real >= WINDOW // 2], doc[real >= WINDOW // 2]
+    data, size = kernels._LOWER[data], np.diff(at)
     w = _start(len(names), seed)
-    if not len(text):
-        return Network(names, w)
-    target = label[doc]
-    by_name = [np.flatnonzero(target == k) for k in range(len(names))]
+    by_name = [np.flatnonzero((label == k) & (size > 0)) for k in range(len(names))]
     by_name = [x for x in by_name if len(x)]
+    if not by_name:
+        return Network(names, w)
     rng = np.random.default_rng(seed)
     first, second = {k: np.zeros_like(v) for k, v in w.items()}, {k: np.zeros_like(v) for k, v in w.items()}
     for turn in range(1, steps + 1):
         rows = np.concatenate([rng.choice(x, -(-BATCH // len(by_name))) for x in by_name])
-        x, y = np.ascontiguousarray(text[rows].T), target[rows]
+        begin = (rng.random(len(rows)) * (np.maximum(size[rows] - WINDOW, 0) + 1)).astype(np.int64)
+        place = begin + np.arange(WINDOW)[:, None]
+        real = place < size[rows]
+        x, y = np.where(real, data[np.minimum(at[rows] + place, len(data) - 1)], 32).astype(np.int64), label[rows]
         kept_f: list = []
         kept_b: list = []
         both = np.concatenate([_run(w["table_f"], w["state_f"], x, kept_f), _run(w["table_b"], w["state_b"], x[::-1], kept_b)[::-1]], axis=2)
         d = _softmax(both @ w["out"] + w["bias"])
         d[:, np.arange(len(y)), y] -= 1
-        d /= d.shape[0] * d.shape[1]
+        d *= (real / real.sum())[:, :, None].astype(np.float32)
         grad = {"out": np.tensordot(both, d, ((0, 1), (0, 1))), "bias": d.sum(axis=(0, 1))}
         d_both = d @ w["out"].T
         grad["table_f"], grad["state_f"] = _back(w["state_f"], x, kept_f, d_both[:, :, :HIDDEN])
@@ -149,9 +146,53 @@ def fit(texts: list[str], languages: list[str], steps: int = STEPS, seed: int =
 def position_labels(network: Network, text: str) -> list[str]:
     """The language of every byte of a text."""
     data, at = kernels.text_buffers(pa.array([text], pa.string()))
-    windows, real, _ = _windows(data, at)
-    best = _positions(network.weights, windows).argmax(axis=1).T
-    return [network.languages[k] for row, n in zip(best, real) for k in row[:n]]
+    found = np.zeros(len(data), np.int64)
+    for segments, p in _segment_scores(network.weights, data, at):
+        for k, (begin, skip, size) in enumerate(zip(segments.begin + segments.skip, segments.skip, segments.size)):
+            found[begin : begin + size] = p[skip : skip + size, :, k].argmax(axis=1)
+    return [network.languages[k] for k in found]
+
+
+@dataclass
+class Segments:
+    """Pieces of texts: row, first byte read, bytes read, bytes read before the piece, and bytes of the piece."""
+
+    doc: np.ndarray
+    begin: np.ndarray
+    read: np.ndarray
+    skip: np.ndarray
+    size: np.ndarray
+
+    @classmethod
+    def of(cls, at: np.ndarray) -> Segments:
+        count = -(-np.diff(at) // SEGMENT)
+        doc = np.repeat(np.arange(len(count)), count)
+        first = at[doc] + (np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)) * SEGMENT
+        last = np.minimum(first + SEGMENT, at[doc + 1])
+        begin, end = np.maximum(first - WARM, at[doc]), np.minimum(last + WARM, at[doc + 1])
+        return cls(doc, begin, end - begin, first - begin, last - first)
+
+    def take(self, rows: np.ndarray) -> Segments:
+        return Segments(self.doc[rows], self.begin[rows], self.read[rows], self.skip[rows], self.size[rows])
+
+
+def _segment_scores(w: dict[str, np.ndarray], data: np.ndarray, at: np.ndarray) -> Iterator[tuple[Segments, np.ndarray]]:
+    """The segments of texts, of like length together, with probabilities (time, language, segment) of all bytes read."""
+    every = Segments.of(at)
+    order = np.argsort(every.read, kind="stable")
+    lo = 0
+    while lo < len(order):
+        hi = min(lo + LANES, len(order))
+        while hi > lo + 1 and every.read[order[hi - 1]] * (hi - lo) > LANE_BYTES:
+            hi = lo + max(1, (hi - lo) // 2)
+        part = every.take(order[lo:hi])
+        time = np.arange(part.read[-1])[:, None]
+        real = time < part.read
+        ahead = kernels._LOWER[data[np.minimum(part.begin + time, len(data) - 1)]].astype(np.int64)
+        ahead[~real] = 32
+        back = np.where(real, part.read - 1 - time, time)
+        yield part, _positions(w, ahead, back)
+        lo = hi
 
 
 def _states(table: np.ndarray, state: np.ndarray, steps: np.ndarray) -> np.ndarray:
@@ -179,12 +220,11 @@ def _states(table: np.ndarray, state: np.ndarray, steps: np.ndarray) -> np.ndarr
     return out
 
 
-def _positions(w: dict[str, np.ndarray], windows: np.ndarray) -> np.ndarray:
-    """Probabilities (time, language, window)."""
-    x = np.ascontiguousarray(windows.T).astype(np.int64)
-    ahead, behind = _states(w["table_f"], w["state_f"], x), _states(w["table_b"], w["state_b"], x[::-1])[::-1]
-    scores = np.matmul(w["out"][:HIDDEN].T, ahead)
-    scores += np.matmul(w["out"][HIDDEN:].T, behind)
+def _positions(w: dict[str, np.ndarray], steps: np.ndarray, back: np.ndarray) -> np.ndarray:
+    """Probabilities (time, language, lane) over bytes (time, lane); back: the place that each lane reads at a time, backwards."""
+    scores = np.matmul(w["out"][:HIDDEN].T, _states(w["table_f"], w["state_f"], steps))
+    behind = np.matmul(w["out"][HIDDEN:].T, _states(w["table_b"], w["state_b"], np.take_along_axis(steps, back, 0)))
+    scores += np.take_along_axis(behind, back[:, None, :], 0)
     scores += w["bias"][:, None]
     np.exp(np.clip(scores, -30, 30, out=scores), out=scores)
     scores /= scores.sum(axis=1, keepdims=True)
@@ -194,33 +234,28 @@ def _positions(w: dict[str, np.ndarray], windows: np.ndarray) -> np.ndarray:
 def pooled(network: Network, data: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Mean probabilities (row, language) of the texts; 0 for empty ones."""
     total = np.zeros((len(at) - 1, len(network.languages)))
-    text, real, doc = _windows(data, at)
-    for lo in range(0, len(text), LANES):
-        part = slice(lo, lo + LANES)
-        p = _positions(network.weights, text[part])
-        short = np.flatnonzero(real[part] < WINDOW)
-        if len(short):
-            p[:, :, short] *= (np.arange(WINDOW)[:, None] < real[part][short])[:, None, :]
-        np.add.at(total, doc[part], p.sum(axis=0).T)
+    for part, p in _segment_scores(network.weights, data, at):
+        time = np.arange(len(p))[:, None]
+        p *= ((time >= part.skip) & (time < part.skip + part.size))[:, None, :]
+        np.add.at(total, part.doc, p.sum(axis=0, dtype=np.float64).T)
     return total / np.maximum(np.diff(at), 1)[:, None]
 
 
-def training_rows(docs: DataFrame, most: int = SAMPLE_DOCS, size: int = SLICE) -> tuple[list[str], list[str]]:
-    """Slices and languages of about so many documents of each language that are not held out, by a hash of the id."""
+def training_rows(docs: DataFrame, most: int = SAMPLE_DOCS) -> tuple[list[str], list[str]]:
+    """Whole texts and languages of about so many documents of each language that are not held out, by a hash of the id."""
     known = docs.select("doc_id", "text", "lang").filter("text IS NOT NULL AND lang IS NOT NULL AND doc_id IS NOT NULL").filter(~held_out())
     counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
-    order = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30))
-    share = F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, int(min(1.0, most / n) * (1 << 30)))]) if counts else None
-    if share is None:
+    if not counts:
         return [], []
-    begin = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.greatest(F.length("text") - size, F.lit(0)) + 1).cast("int") + 1
-    rows = known.filter(order < share[F.col("lang")]).select("doc_id", F.substring(F.col("text"), begin, F.lit(size)).alias("text"), "lang").toArrow()
-    rows = rows.sort_by([("doc_id", "ascending"), ("lang", "ascending"), ("text", "ascending")])
+    order = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30))
+    share = F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, int(min(1.0, most / n) * (1 << 30)))])
+    rows = known.filter(order < share[F.col("lang")]).toArrow().sort_by([("doc_id", "ascending"), ("lang", "ascending"), ("text", "ascending")])
     return rows.column("text").to_pylist(), rows.column("lang").to_pylist()
 
 
-def predict(docs: DataFrame, network: Network | None, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
-    """The columns of keep, lang_pred and score of every row."""
+def _predicted(docs: DataFrame, network: Network | None, keep: tuple[str, ...], text: str) -> DataFrame:
+    """The columns of keep as _keep_0 and so on, _lang and _score of every row."""
+    columns, inner, schema = keeping(docs, keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -236,11 +271,15 @@ def predict(docs: DataFrame, network: Network | None, keep: tuple[str, ...] = ("
             if not network:
                 names, scores = [UNKNOWN] * batch.num_rows, [0.0] * batch.num_rows
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[: len(keep)], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*keep, "lang_pred", "score"]
+                [*batch.columns[: len(keep)], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*inner, "_lang", "_score"]
             )
 
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + ", lang_pred string, score double"
-    return docs.select(*keep, text).mapInArrow(run, schema)
+    return docs.select(*columns, F.col(text).alias("_text")).mapInArrow(run, schema + "_lang string, _score double")
+
+
+def predict(docs: DataFrame, network: Network | None, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
+    """The columns of keep (one at least), lang_pred and score of every row."""
+    return _predicted(docs, network, keep, text).toDF(*keep, "lang_pred", "score")
 
 
 def _lettered(text: memoryview) -> bool:
@@ -248,12 +287,23 @@ def _lettered(text: memoryview) -> bool:
     return any(_LETTER.search(bytes(part).decode("utf-8", "ignore")) for part in (text[:64], text))
 
 
-def accepted(docs: DataFrame, sf_dir: str, least: float = 0.4) -> DataFrame:
-    """The documents whose language is known with that score or more; the network learns from the documents table."""
+def accepted(docs: DataFrame, sf_dir: str, least: float = LEAST_SCORE) -> DataFrame:
+    """The documents, with all their columns, whose language is known with that score or more.
+
+    The network learns from the documents table. Documents without a letter go; `rejected` counts what else does.
+    """
+    return _judged(docs, sf_dir).filter((F.col("_lang") != UNKNOWN) & (F.col("_score") >= least)).drop("_lang", "_score").toDF(*docs.columns)
+
+
+def rejected(docs: DataFrame, sf_dir: str, least: float = LEAST_SCORE) -> DataFrame:
+    """Per predicted language, how many documents `accepted` does not take, and their mean score."""
+    lost = _judged(docs, sf_dir).filter((F.col("_lang") == UNKNOWN) | (F.col("_score") < least))
+    return lost.groupBy(F.col("_lang").alias("lang_pred")).agg(F.count("*").alias("n"), F.avg("_score").alias("score"))
+
+
+def _judged(docs: DataFrame, sf_dir: str) -> DataFrame:
     network = fit(*training_rows(docs.sparkSession.read.parquet(f"{sf_dir}/documents.parquet")))
-    columns = tuple(docs.columns)
-    slim = docs.select(*columns, F.col("text").alias("_scored"))
-    return predict(slim, network, columns, "_scored").filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*columns)
+    return _predicted(docs, network, tuple(docs.columns), "text")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
