@@ -74,8 +74,10 @@ def test_a_repeated_id_has_the_links_of_all_its_texts(spark):
 
 def test_keep_one(spark):
     rows = given(3)
-    kept = near_dup.keep_one(spark.createDataFrame([(d, t, "k", "c") for d, t in rows], SCHEMA), width=2)
-    assert kept.columns == ["doc_id", "text", "key", "component"]
+    df = spark.createDataFrame([(d, t, "k", "c", 1) for d, t in rows] + [(None, "n n", "k", "c", 1)] * 2, SCHEMA + ", _near_dup_id int")
+    kept = near_dup.keep_one(df.withColumnRenamed("_near_dup_id", "_id"), width=2)
+    assert kept.columns == ["doc_id", "text", "key", "component", "_id"]
+    assert sorted(r["text"] for r in kept.filter("doc_id IS NULL").collect()) == sorted([rows[[d for d, _ in rows].index(None)][1], "n n"])
     assert sorted(r["doc_id"] for r in kept.filter("doc_id IS NOT NULL").collect()) == sorted({x[0] for x in brute(rows, 2) if x[3] and x[0] is not None})
 
 

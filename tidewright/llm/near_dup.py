@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tidewright.llm import kernels
@@ -315,13 +315,13 @@ def group(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text"
     return linked.unionAll(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """One document of each group; of rows that repeat a kept doc_id and text, one."""
-    doc_id: Column = F.col(options.get("doc_id", "doc_id"))
-    kept = group(docs, **options).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
-    text = options.get("text", "text")
-    found = docs.join(kept, doc_id.cast("long").eqNullSafe(F.col("_id")), "left_semi")
-    return found.dropDuplicates([options.get("doc_id", "doc_id"), text])
+def keep_one(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """One document of each group, with all its columns; of rows that repeat a kept doc_id and text, one; of null ids, one a text."""
+    kept = group(docs, width, percent, text, doc_id).filter("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_near_dup_id")).distinct()
+    named = F.col(f"`{doc_id}`")
+    # Rows meet by their id once; what repeats an id and a text is then already together.
+    found = docs.filter(named.isNotNull()).join(kept, named.cast("long") == F.col("_near_dup_id"), "left_semi").dropDuplicates([doc_id, text])
+    return found.unionAll(docs.filter(named.isNull()).dropDuplicates([text]))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
