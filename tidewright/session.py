@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -25,3 +28,28 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, memory: str = "
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the tables of a data folder, by any path that Spark reads."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: the session's spark.checkpoint.dir.
+
+    Only where that is unset and the session is a local one, as in tests, a temporary one is made; on a cluster it has to be set.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if found is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        found = tempfile.mkdtemp(prefix="tidewright-")
+        spark.sparkContext.setCheckpointDir(found)
+    return found
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's path below the shared one."""
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Writes the rows to the shared folder and goes on from there, so a lost executor redoes nothing before them."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
