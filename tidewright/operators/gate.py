@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.functions.text import count_of, last_index, reason_code, text_or_empty
+from tidewright.operators.rules import may_match
 
 #: Class patterns of the consistency check, ignoring case.
 HEURISTICS = {
@@ -16,7 +17,19 @@ HEURISTICS = {
     "cmdi": r"(;\s*(?:id|whoami|cat\s|ls\s|uname|ps\s|env\b)|\|\s*(?:id|whoami|cat\s|ls\s|uname)|`(?:id|whoami|cat\s|ls\s)`|\$\((?:id|whoami|ls\s)|bash\s+-i\s+>&|nc\s+-e\s+/bin)",
 }
 
-#: Tokens that a payload of a class has to keep; those of the first group ignore case.
+#: Of each class pattern, what a lower-case text has to hold for a match, as in rules.NEEDS.
+NEEDS = {
+    "sqli": [
+        ("union", "select"), ("select", "from"), ("drop", "table"), ("insert", "into"), ("update", "set"), ("delete", "from"), ("1", "=", ("or", "and")), ("'='",),
+        (("sleep", "benchmark", "extractvalue", "updatexml"), "("), ("waitfor", "delay"), (("information_schema", "mysql.user", "pg_sleep"),),
+    ],
+    "xss": [("<", ("script", "iframe")), ("<", "svg", "on"), (("onerror", "onload", "onfocus", "ontoggle"), "="), (":", ("javascript", "data")), ("alert", "("), ("document.cookie",)],
+    "lfi": [(("../", "..\\", "%2e%2e%2f", "%2e%2e/", "..%2f", "%252e%252e", "php://filter", "php://input", "data://text", "/etc/passwd", "/etc/shadow", "\\windows\\system32"),)],
+    "ssrf": [(("169.254.169.254", "metadata.google.internal", "127.0.0.1/", "0.0.0.0/", "[::1]/", "dict://", "gopher://"),), ("localhost", "/admin")],
+    "cmdi": [((";", "|", "`", "$("), ("id", "whoami", "cat", "ls", "uname", "ps", "env")), ("bash", "-i"), ("nc", "-e")],
+}
+
+#: Tokens that a payload of a class has to keep; the inline flag marks those that ignore case.
 TOKENS = {
     "sqli": r"(?i)(union\b|select\b|sleep\s*\(|benchmark\s*\(|waitfor\b|\bor\b|\band\b|=|--|#|/\*)",
     "xss": r"(?i)(<\s*[a-z]|on[a-z]+\s*=|javascript\s*:|data\s*:\s*text/html)",
@@ -67,8 +80,10 @@ def valid_for_class(cls: Column | str, text: Column | str) -> Column:
 
 
 def heuristic_classes(raw: Column | str) -> Column:
-    """Sorted names of the classes whose pattern is found."""
-    found = F.array(*[F.when(F.rlike(text_or_empty(raw), F.lit("(?id)" + HEURISTICS[n])), F.lit(n)) for n in sorted(HEURISTICS)])
+    """Sorted names of the classes whose pattern is found; a text meets a pattern only where it holds what that needs."""
+    text = text_or_empty(raw)
+    low = F.lower(text)
+    found = F.array(*[F.when(may_match(low, NEEDS[n]) & F.rlike(text, F.lit("(?id)" + HEURISTICS[n])), F.lit(n)) for n in sorted(HEURISTICS)])
     return F.filter(found, lambda x: x.isNotNull())
 
 
