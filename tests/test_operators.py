@@ -1,11 +1,12 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidewright import schema
 from tidewright.functions import grammar, tampers, text
-from tidewright.operators import augment, dedup, gate, jobs, leakage, metrics, profile, ranking, requests, rules, splits, tokenization
+from tidewright.operators import augment, dedup, gate, jobs, leakage, metrics, probes, profile, ranking, requests, rules, splits, tokenization
 from tidewright.sources import files, readers, sinks
 
 
@@ -118,6 +119,19 @@ def test_exact_and_greedy_dedup(spark):
     assert sorted(r["ord"] for r in dedup.without_similar(df, held, "ord", "raw").collect()) == [4, 5]
 
 
+def test_ties_of_exact_dedup(spark):
+    rows = [(0, "A", "x"), (1, "A", "x"), (1, "B", "x"), (2, "C", "p"), (2, "C", "q"), (3, "D", "x"), (3, "D", "x"), (None, "A", "x"), (None, "E", "x")]
+    got = dedup.exact_firsts(spark.createDataFrame(rows, "ord long, raw string, other string").repartition(3)).collect()
+    assert sorted((r["ord"], r["raw"]) for r in got if r["ord"] is not None) == [(0, "A"), (1, "B"), (2, "C"), (3, "D")]
+    assert [r["raw"] for r in got if r["ord"] is None] == ["E"]
+
+
+def test_point_lookup(spark):
+    base = "the quick brown fox jumps over the lazy dog and runs far away from here today "
+    df = spark.createDataFrame([(1, base), (2, base + "x"), (3, "another text"), (4, None)], "id long, raw string")
+    assert sorted(r["id"] for r in dedup.similar_to(df, base).collect()) == [1, 2]
+
+
 def test_greedy_order(spark):
     """b is like a and c, a and c are not alike: a stays, b goes, c stays."""
     rng = random.Random(1)
@@ -206,6 +220,65 @@ def test_tampers(spark):
     assert one(spark, tampers.ip_hex("t"), t="127.0.0.1") == "0x7f000001"
 
 
+def test_no_rule_is_missed_for_want_of_a_literal(spark):
+    """Texts made of pieces of the patterns: a guarded pattern is found wherever the bare one is."""
+    rng = random.Random(3)
+    pieces = ["union", "select", " all ", "from", "t1", "insert into x", "drop table y", "sleep ( 5", "benchmark(1", "waitfor delay '", "<script>", "< script ", "javascript: alert", "onerror=x", "onload = 'y",
+              "document.cookie", "<iframe ", "../", "..\\", "%2e%2e/", "/etc/passwd", "/proc/self/", "php://input", "http://evil.example/a.php", "https://localhost/a.php", "169.254.169.254", " 127.0.0.1:", "file://",
+              "; id", "| cat /", "`ls -", "$(whoami)", "`abc`", "& curl http:", "<!ENTITY x", "SYSTEM 'file:", "<!DOCTYPE a [", "{{7*7}}", "{% x %}", "${a}", "#{a}", "<%= a %>", "' or '", "' and 1", "or 1 = 1", "AND 1=1",
+              "0xdeadbeef", "<svg>", "<details ", "onfocus =", "eval (", "%252e%252e", ".%2e", "boot.ini", "system32\\", "; echo a", "&& python ", "exec (", "xp_cmdshell", "information_schema .", "sys.tables", "src = 'javascript:",
+              "href=data:", "\r\nLocation", "\nX-a", "nmap ", "sqlmap ", " where a = b", "<a b onx =", "tmp/", "etc\\", "update a set", "delete  from", "or 'a'='a'", "extractvalue(", "mysql.user", "<svg on", "data : text/html",
+              "\\windows\\system32", "localhost:80/admin", "[::1]/", "; ps ", "bash -i >&", "nc -e /bin", "K", "İ", "ß", "=", "'", " ", "\n", "a"]
+    texts = [" ".join(rng.choices(pieces, k=rng.randint(1, 4))) for _ in range(1500)] + ["".join(rng.choices(pieces, k=2)) for _ in range(500)] + pieces + [p.upper() for p in pieces]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, raw string")
+    low = F.lower("raw")
+    assert set(rules.NEEDS) == {r.id for r in rules.RULES} and set(gate.NEEDS) == set(gate.HEURISTICS)
+    wrong = [(rules.rule_hit(low, r) != rules.hit(low, r.pattern)).cast("int") for r in rules.RULES]
+    hits = [F.max(rules.hit(low, r.pattern).cast("int")).alias(f"h{r.id}") for r in rules.RULES]
+    assert df.agg(*[F.sum(w) for w in wrong]).first() == tuple([0] * len(wrong))
+    assert set(df.agg(*hits).first()) == {1}  # every rule is met by some text
+    bare = F.filter(F.array(*[F.when(F.rlike("raw", F.lit("(?id)" + gate.HEURISTICS[n])), F.lit(n)) for n in sorted(gate.HEURISTICS)]), lambda x: x.isNotNull())
+    assert df.filter(gate.heuristic_classes("raw") != bare).count() == 0 and df.filter(F.size(bare) > 0).count() > 100
+
+
+def test_scores_in_a_session_with_tags(spark):
+    """A model must not carry the session into its tasks: a session with tags can't be sent."""
+    spark.addTag("a")
+    try:
+        rows = spark.createDataFrame([(k, f"text {'bad' if k % 2 else 'good'} {k}", k % 2) for k in range(60)], "id long, raw string, label int")
+        rows = probes.prepared(rows)
+        assert probes.scores(probes.logistic_probe(rows, structural=True), rows).filter("pred = label").count() > 50
+        assert probes.scores(probes.boosted_probe(rows.withColumn("stop_by", F.col("id") % 5 == 0), columns=64, trees=5, validation="stop_by"), rows).count() == 60
+    finally:
+        spark.clearTags()
+
+
+def test_exact_ranks_whatever_the_cells(spark):
+    df = spark.range(3000).select("id", F.when(F.col("id") % 3 > 0, "hot").when(F.col("id") % 300 == 0, F.lit(None)).otherwise("cold").alias("s"))
+    got = splits.ranked(df.repartition(5), [F.col("s")], splits._in_order("id", 1)).toPandas()
+    for _, rows in got.groupby(got["s"].fillna("?")):
+        assert sorted(rows["_r"]) == list(range(1, len(rows) + 1)) and set(rows["_n"]) == {len(rows)}
+    assert splits.renormalised({"a": 0.2, "b": 0.2, "c": 0.6}, ["a"])["c"] == pytest.approx(0.75)
+    part = splits.first_share(df, 0.5, "s", "id")
+    assert part.filter("s = 'hot'").agg(F.max("id")).first()[0] == 1499
+
+
+def test_flattest_productions(spark):
+    g = grammar.Grammar({"S": [(9.0, [("n", "A"), ("n", "S")]), (1.0, [("n", "A")])], "A": [(5.0, [("n", "B")]), (1.0, [("t", "a")])], "B": [(1.0, [("t", "b")])]}, start="S", max_depth=2)
+    assert {p.body for p in g.flat["S"]} == {(("n", "A"),)} and {p.body for p in g.flat["A"]} == {(("t", "a"),)}
+    assert all(set(g.sample(grammar.row_random(k))) <= {"a", "b"} for k in range(50))
+    for wrong in ({"S": [(1.0, [("n", "X")])]}, {"X": [(1.0, [("t", "x")])]}):
+        with pytest.raises(ValueError):
+            grammar.Grammar(wrong, start="S")
+
+
+def test_swapped_fillers(spark):
+    df = spark.createDataFrame([(1, "from 10.1.2.3 to www.shop.com, 12345 times 7"), (2, None), (3, "")], "id long, t string")
+    got = {r["id"]: r["t"] for r in leakage.swapped(df, "t", "id").collect()}
+    assert got[2] is None and got[3] == "" and re.fullmatch(r"from \d+(\.\d+){3} to [a-z0-9.]+, \d+ times 7", got[1])
+    assert "10.1.2.3" not in got[1] and "shop" not in got[1] and got == {r["id"]: r["t"] for r in leakage.swapped(df.repartition(3), "t", "id").collect()}
+
+
 def test_grammar(spark):
     g = grammar.grammars({"g": {"start": "A", "max_depth": 4, "rules": {"A": [[0.9, ["t:a", "n:A"]], [0.1, ["t:b"]]]}}})["g"]
     for seed in range(300):

@@ -109,3 +109,13 @@ def reason_code(reason: Column | str) -> Column:
 def preview(text: Column | str, size: int = 200) -> Column:
     """The beginning of a text on one line, for samples in reports."""
     return F.regexp_replace(F.substring(text_or_empty(text), 1, size), r"[\r\n]+", " ")
+
+
+def escaped(text: Column | str) -> Column:
+    """A text as it has to stand in HTML."""
+    return reduce(lambda c, p: F.replace(c, F.lit(p[0]), F.lit(p[1])), [("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")], text_or_empty(text))
+
+
+def highlighted(text: Column | str, pattern: str) -> Column:
+    """The escaped text with what the pattern (of escaped text) finds, ignoring case, in mark elements."""
+    return F.regexp_replace(escaped(text), f"(?i)({pattern})", "<mark>$1</mark>")

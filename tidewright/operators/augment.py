@@ -100,6 +100,11 @@ def mutated(df: DataFrame, payload: str = "payload", cls: str = "attack_class",
     return rows.withColumn(payload, F.when(uniform(seed + 3, k) < 0.3, encoded(F.col(payload), k, seed + 4)).otherwise(F.col(payload)))
 
 
+def query_string(pairs: Column) -> Column:
+    """name=value joined by ampersands, as given: nothing is escaped, and pairs without a value are left out."""
+    return F.array_join(F.transform(F.filter(pairs, lambda p: p["value"].isNotNull()), lambda p: F.concat(p["key"], F.lit("="), p["value"])), "&")
+
+
 def from_templates(rows: DataFrame, prefixes: list[str], payloads: list[str], suffixes: list[str], seed: int = 42, key: str = "i") -> DataFrame:
     """prefix, payload and suffix picked for each row."""
     part = lambda options, k: pick(options, seed + k, F.col(key))

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewright.functions import grammar
 from tidewright.functions.text import tokens
 from tidewright.operators.metrics import auc_rank
 
@@ -69,6 +74,27 @@ def neutralised(text: Column | str) -> Column:
     return F.regexp_replace(c, r"\b\d{2,}\b", "11")
 
 
+_SWAPPED = re.compile(rf"(?ai)(?P<ip>\b\d{{1,3}}(?:\.\d{{1,3}}){{3}}\b)|(?P<host>\b(?:[a-z0-9-]+\.)+(?:{HOST_ENDS})\b)|(?P<number>\b\d{{2,}}\b)")
+_DRAWS = {"ip": grammar.Filler.ip, "host": grammar.Filler.host, "number": lambda filler: str(filler.rng.randrange(10, 100_000))}
+
+
+def swapped(df: DataFrame, text: str, key: str, seed: int = 42) -> DataFrame:
+    """The table with `text` freshly filled: other IPv4 addresses, hosts and numbers of two or more digits, each drawn anew.
+
+    Draws depend on the seed, the row's key and the place alone. A null text stays null.
+    """
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            out = []
+            for value, row in zip(part[text], part[key]):
+                filler = grammar.Filler(grammar.row_random(seed, row))
+                out.append(None if pd.isna(value) else _SWAPPED.sub(lambda m, filler=filler: _DRAWS[m.lastgroup](filler), value))
+            yield part.assign(**{text: out})
+
+    return df.mapInPandas(run, df.schema)
+
+
 def counterfactual_delta(df: DataFrame, before: str = "prob", after: str = "prob_swapped", label: str = "label") -> DataFrame:
     """AUC with the score before and after fillers are swapped, and the difference."""
     a = auc_rank(df, before, label).select(F.col("auc_roc").alias("auc_before"))

@@ -201,3 +201,15 @@ def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
     counts = df.groupBy(label).agg(F.count("*").alias("n"))
     whole = counts.agg(F.sum("n").alias("total"), F.count("*").alias("k"))
     return counts.crossJoin(F.broadcast(whole)).select(label, "n", (F.col("total") / (F.col("k") * F.col("n"))).alias("weight"))
+
+
+def smoothed_labels(label: Column | str, eps: float) -> Column:
+    """Labels drawn towards the middle: y (1 - eps) + eps / 2."""
+    return (F.col(label) if isinstance(label, str) else label) * (1 - eps) + eps / 2
+
+
+def smoothing_sweep(df: DataFrame, epsilons: list[float], label: str = "label") -> DataFrame:
+    """For each eps, how many labels at the threshold of a half are as they were: all, below an eps of 1."""
+    options = F.array(*[F.struct(F.lit(float(e)).alias("eps"), (smoothed_labels(label, e) >= 0.5).cast("int").alias("y")) for e in epsilons])
+    rows = df.select(F.col(label).alias("label"), F.explode(options).alias("x"))
+    return rows.groupBy("x.eps").agg(F.count("*").alias("n"), F.sum((F.col("x.y") == F.col("label")).cast("long")).alias("n_same"))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tidewright.operators.metrics import confusion
+
 #: Weights of the composite score.
 WEIGHTS = {"auc_pr": 0.5, "latency": 0.3, "robustness": 0.2}
 
@@ -78,20 +80,25 @@ def scaling_factors(df: DataFrame) -> DataFrame:
     return df.withColumns({"factor": F.when(F.abs(probe) > 1e-8, anchor / probe), "corrected": F.col("probe_a") + anchor})
 
 
-def ablation(df: DataFrame, metric, source: str = "source", least: int = 100) -> DataFrame:
-    """metric(rows without a source) minus metric(all rows), for each source; small remainders are skipped.
+def ablation(df: DataFrame, value, source: str = "source", least: int = 100) -> DataFrame:
+    """What a metric gains or loses without each source: source, n_dropped, value and delta (against all rows), in one pass.
 
-    metric: function of a table to one row with a value column. Sources are few: the loop is over their names.
+    value: function of the columns tp, fp, tn, fn (by name) to the metric. Counts of the rest are those of all less the
+    source's own; sources without which fewer than `least` rows are left are skipped.
     """
-    spark = df.sparkSession
-    whole = metric(df).first()["value"]
-    out = []
-    total = df.count()
-    for r in df.groupBy(source).count().orderBy(source).collect():
-        if total - r["count"] >= least:
-            value = metric(df.filter(~F.col(source).eqNullSafe(F.lit(r[source])))).first()["value"]
-            out.append((r[source], r["count"], value, None if value is None or whole is None else value - whole))
-    return spark.createDataFrame(out, f"{source} string, n_dropped long, value double, delta double")
+    names = ("tp", "fp", "tn", "fn", "n")
+    own = confusion(df, by=[source])
+    whole = F.broadcast(own.agg(*[F.sum(c).alias(f"_{c}") for c in names]))
+    rest = {c: F.col(f"_{c}") - F.col(c) for c in names}
+    after, before = value(rest), value({c: F.col(f"_{c}") for c in names})
+    return own.crossJoin(whole).filter(rest["n"] >= least).select(source, F.col("n").alias("n_dropped"), after.alias("value"), (after - before).alias("delta"))
+
+
+def memory_report(df: DataFrame, reference: str, params: str = "n_params", width: str = "bytes_per_param") -> DataFrame:
+    """Megabytes of each model's parameters, and how many times smaller than the reference model it is."""
+    size = F.col(params).cast("double") * F.col(width)
+    base = F.broadcast(df.filter(F.col("model") == reference).select(size.alias("_base")).limit(1))
+    return df.crossJoin(base).withColumns({"megabytes": size / (1 << 20), "compression": F.when(size > 0, F.col("_base") / size)}).drop("_base")
 
 
 def flattened(report: dict, prefix: str = "") -> list[tuple[str, float]]:

@@ -1,4 +1,4 @@
-"""Tokenising with given vocabularies, and what token ids say about a tokenizer. No vocabulary is trained here."""
+"""Tokenising with given vocabularies, and what token ids say about a tokenizer. Tokenizers are never trained here."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 _loaded: dict[str, object] = {}
 
@@ -17,6 +18,7 @@ def _tokenizer(path: str):
         from tokenizers import Tokenizer
 
         _loaded[path] = Tokenizer.from_file(path)
+        _loaded[path].encode_special_tokens = True  # their strings in a text are ordinary text
     return _loaded[path]
 
 
@@ -33,6 +35,44 @@ def encoder(path: str):
     return ids
 
 
+def decoder(path: str, byte_level: bool = False):
+    """A column function from array of ids to text, by the vocabulary file; nulls are empty arrays.
+
+    byte_level: tokens are characters that stand for bytes, and the file does not say so.
+    """
+
+    @F.pandas_udf("string")
+    def texts(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        tokenizer = _tokenizer(path)
+        if byte_level:
+            from tokenizers import Tokenizer, decoders
+
+            tokenizer = Tokenizer.from_str(tokenizer.to_str())
+            tokenizer.decoder = decoders.ByteLevel()
+        for part in parts:
+            yield pd.Series(tokenizer.decode_batch([[] if x is None else list(map(int, x)) for x in part], skip_special_tokens=False))
+
+    return texts
+
+
+def dual(df: DataFrame, text: str, student: str, teacher: str, width: int = 256) -> DataFrame:
+    """The table with the ids of two vocabularies, each cut to the width."""
+    cut = lambda path: F.slice(encoder(path)(text), 1, width)
+    return df.withColumns({"student_ids": cut(student), "teacher_ids": cut(teacher)})
+
+
+def augmented_vocabulary(vocabulary: DataFrame, candidates: DataFrame) -> DataFrame:
+    """token and id: the vocabulary (token, id), and the candidates that it lacks, numbered on in the order of their names.
+
+    Candidates are few, as they are chosen by hand.
+    """
+    name, token = candidates.columns[0], vocabulary.columns[0]
+    new = missing_tokens(candidates.distinct(), vocabulary.select(token))
+    last = F.broadcast(vocabulary.agg(F.max("id").alias("_last")))
+    numbered = new.crossJoin(last).select(F.col(name).alias("token"), (F.col("_last") + F.row_number().over(W.orderBy(name))).alias("id"))
+    return vocabulary.select(F.col(token).alias("token"), "id").unionByName(numbered)
+
+
 def collated(df: DataFrame, ids: str = "ids", width: int = 256, pad_id: int = 0, by: list[str] | None = None) -> DataFrame:
     """Ids cut to the width and padded to the longest of their batch (the columns of by, else the whole table), with masks."""
     cut = F.slice(F.col(ids), 1, width)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewright.plans import augmentation, corpus, evaluation, relational, requests, streams  # noqa: F401
+from tidewright.plans import augmentation, corpus, evaluation, files, records, relational, reports, requests, streams, tokens  # noqa: F401
 from tidewright.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -83,6 +83,24 @@ def dedup_by_id(spark, sf_dir):
     return dedup.first_by_id([named("labels"), named("documents")], "doc_id").select("doc_id", "origin")
 
 
+GRAMS = "list_distinct(list_transform(range(1, greatest(1, length(text) - 2) + 1), lambda i: substr(text, i, 3)))"
+
+
+@query(
+    "near_dup_pairs",
+    f"""
+    WITH firsts AS (SELECT doc_id, lang, {GRAMS} AS g FROM documents QUALIFY row_number() OVER (PARTITION BY sha256(coalesce(text, '')) ORDER BY doc_id) = 1),
+    p AS (SELECT a.doc_id AS a, b.doc_id AS b, len(list_intersect(a.g, b.g)) AS k, len(a.g) + len(b.g) AS n FROM firsts a JOIN firsts b
+          ON a.lang = b.lang AND a.doc_id < b.doc_id AND len(a.g) >= 40 AND len(b.g) >= 40 AND least(len(a.g), len(b.g)) >= 0.85 * greatest(len(a.g), len(b.g)))
+    SELECT a, b, round(k / (n - k), 9) AS similarity FROM p WHERE k / (n - k) >= 0.85
+    """,
+)
+def near_dup_pairs(spark, sf_dir):
+    """Pairs of documents of one language that are similar at 0.85, found by bands and verified."""
+    firsts = dedup.exact_firsts(table(spark, sf_dir, "documents"), "text", "doc_id")
+    return dedup.similar_pairs(firsts, "doc_id", "text", 0.85, group="lang").withColumn("similarity", F.round("similarity", 9))
+
+
 @query("near_dedup")
 def near_dedup(spark, sf_dir):
     """Greedy first-wins near dedup of documents at 0.85, inside each language."""
@@ -90,11 +108,35 @@ def near_dedup(spark, sf_dir):
     return dedup.greedy_firsts(firsts, "doc_id", "text", 0.85, group="lang").select("doc_id", "lang", "source")
 
 
-@query("contamination_filter")
+@query(
+    "contamination_filter",
+    f"""
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS text, {GRAMS} AS g FROM documents), i AS (SELECT {GRAMS} AS g FROM benchmark)
+    SELECT doc_id FROM d WHERE NOT EXISTS (
+        SELECT 1 FROM i WHERE least(len(i.g), len(d.g)) >= 0.7 * greatest(len(i.g), len(d.g))
+          AND len(list_intersect(i.g, d.g)) >= 0.7 * (len(i.g) + len(d.g) - len(list_intersect(i.g, d.g))))
+    """,
+)
 def contamination_filter(spark, sf_dir):
     """Documents without a benchmark item that is similar at 0.70."""
-    held = table(spark, sf_dir, "benchmark").select((-F.col("item_id") - 1).alias("doc_id"), "text")
-    return dedup.without_similar(table(spark, sf_dir, "documents"), held, "doc_id", "text", 0.70).select("doc_id")
+    held = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
+    return dedup.without_similar(table(spark, sf_dir, "documents"), held, "doc_id", "text", 0.70, same_id=True).select("doc_id")
+
+
+@query(
+    "split_leakage",
+    f"""
+    WITH r AS (SELECT doc_id, text, {GRAMS} AS g, (row_number() OVER (PARTITION BY lang ORDER BY sha256('42|' || doc_id), doc_id) - 1) / count(*) OVER (PARTITION BY lang) AS place FROM documents),
+    held AS (SELECT * FROM r WHERE place < 0.02 OR place >= 0.05 AND place < 0.15), train AS (SELECT * FROM r WHERE place >= 0.3)
+    SELECT doc_id FROM held WHERE NOT EXISTS (
+        SELECT 1 FROM train t WHERE least(len(t.g), len(held.g)) >= 0.7 * greatest(len(t.g), len(held.g))
+          AND len(list_intersect(t.g, held.g)) >= 0.7 * (len(t.g) + len(held.g) - len(list_intersect(t.g, held.g))))
+    """,
+)
+def split_leakage(spark, sf_dir):
+    """Rows of the test and canary splits without a similar row in train."""
+    rows = splits.exact_quota_split(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), "doc_id", "lang")
+    return dedup.without_similar(rows.filter("split IN ('test', 'canary')"), rows.filter("split = 'train'"), "doc_id", "text", 0.70).select("doc_id")
 
 
 @query(
@@ -269,13 +311,18 @@ def token_leakage(spark, sf_dir):
     WITH {LABELLED},
     t AS (SELECT DISTINCT id, label, token FROM (SELECT id, label, unnest({TOKENS}) AS token FROM labelled) WHERE token <> ''),
     c AS (SELECT token, count(*) AS d, sum(label) AS a FROM t GROUP BY token HAVING count(*) >= 5)
-    SELECT count(*) AS n_tokens, count(*) FILTER (WHERE a / d <= 0.02 OR a / d >= 0.98) AS n_strong,
+    SELECT count(*) AS n_tokens, max(round(greatest(0, CASE WHEN a > 0 THEN a / n * log2(CAST(a AS DOUBLE) * n / (CAST(d AS DOUBLE) * p)) ELSE 0 END
+             + CASE WHEN d - a > 0 THEN (d - a) / n * log2(CAST(d - a AS DOUBLE) * n / (CAST(d AS DOUBLE) * (n - p))) ELSE 0 END
+             + CASE WHEN p - a > 0 THEN (p - a) / n * log2(CAST(p - a AS DOUBLE) * n / (CAST(n - d AS DOUBLE) * p)) ELSE 0 END
+             + CASE WHEN n - d - p + a > 0 THEN (n - d - p + a) / n * log2(CAST(n - d - p + a AS DOUBLE) * n / (CAST(n - d AS DOUBLE) * (n - p))) ELSE 0 END), 9)) AS max_mi,
+           count(*) FILTER (WHERE a / d <= 0.02 OR a / d >= 0.98) AS n_strong,
            count(*) FILTER (WHERE (a / d <= 0.02 OR a / d >= 0.98) AND (regexp_full_match(token, '[0-9]+') OR (length(token) >= 8 AND regexp_full_match(token, '[0-9a-f]+'))
-             OR (length(token) >= 4 AND regexp_matches(token, '[a-z]') AND regexp_matches(token, '[0-9]')))) AS n_strong_incidental FROM c
+             OR (length(token) >= 4 AND regexp_matches(token, '[a-z]') AND regexp_matches(token, '[0-9]')))) AS n_strong_incidental
+    FROM c, (SELECT count(*) AS n, CAST(sum(label) AS BIGINT) AS p FROM labelled)
     """,
 )
 def leakage_rollup(spark, sf_dir):
-    return leakage.leakage_rollup(leakage.token_leakage(labelled(spark, sf_dir))).drop("max_mi")
+    return leakage.leakage_rollup(leakage.token_leakage(labelled(spark, sf_dir))).withColumn("max_mi", F.round("max_mi", 9))
 
 
 @query(
@@ -301,11 +348,20 @@ def stratified_split(spark, sf_dir):
     return splits.exact_quota_split(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id", "lang")
 
 
-@query("composite_split")
+@query(
+    "composite_split",
+    f"""
+    WITH {LABELLED},
+    k AS (SELECT id, concat_ws('_', label, attack_class, CASE WHEN contains(lower(coalesce(source, '')), 'kaggle') THEN 'real_kaggle' ELSE 'real_other' END) AS k FROM labelled),
+    c AS (SELECT id, CASE WHEN count(*) OVER (PARTITION BY k) < 2 THEN '(rare)' ELSE k END AS s FROM k),
+    r AS (SELECT id, s, (row_number() OVER (PARTITION BY s ORDER BY sha256('42|' || id), id) - 1) / count(*) OVER (PARTITION BY s) AS place FROM c)
+    SELECT id, CASE WHEN place < 0.02 THEN 'canary' WHEN place < 0.05 THEN 'adversarial' WHEN place < 0.15 THEN 'test' WHEN place < 0.3 THEN 'val' ELSE 'train' END AS split FROM r
+    """,
+)
 def composite_split(spark, sf_dir):
-    """Split sizes by the composite stratum of label, class and source kind, whatever the size of a stratum."""
+    """The split of each row by the composite stratum of label, class and source kind; strata of one row are pooled."""
     key = splits.stratum("label", "attack_class", splits.source_bucket("source"))
-    return splits.stratified_split(labelled(spark, sf_dir), "id", key).groupBy("split").agg(F.count("*").alias("n"))
+    return splits.stratified_split(labelled(spark, sf_dir), "id", key).select("id", "split")
 
 
 @query(

@@ -78,12 +78,17 @@ def canonical_classes(spark, sf_dir):
 
 @query(
     "normalised_labels",
-    f"WITH {LABELLED} SELECT id, CASE WHEN attack_class = 'en' THEN label ELSE 0 END AS label FROM labelled",
+    f"""
+    WITH {LABELLED}
+    SELECT id, CASE WHEN attack_class = 'en' THEN label ELSE 0 END AS label, CASE WHEN attack_class = 'en' THEN 'sqli' ELSE 'benign' END AS attack_class, 'GET' AS method, '/d/' || id AS path,
+           '' AS query_string, '{{}}' AS headers, '' AS body, raw, source, '' AS split FROM labelled WHERE trim(raw, ' ') <> ''
+    """,
 )
 def normalised_labels(spark, sf_dir):
     """The normaliser over labelled rows; languages other than English stand for benign classes."""
     rows = labelled(spark, sf_dir).withColumn("attack_class", F.when(F.col("attack_class") == "en", "sqli").otherwise("benign"))
-    return requests.normalise(rows).select(F.col("id").cast("long").alias("id"), F.col("label").cast("int").alias("label"))
+    rows = rows.withColumns({"method": F.lit(" get "), "path": F.concat(F.lit(" /d/"), "id"), "query_string": F.lit("  "), "headers": F.lit(None).cast("string")})
+    return requests.normalise(rows).withColumns({"id": F.col("id").cast("long"), "label": F.col("label").cast("int")})
 
 
 @query(
@@ -164,11 +169,11 @@ def _score_sql(level: int) -> str:
     "crs_score",
     "WITH t AS (SELECT page_id, lower(html) AS low FROM pages) SELECT page_id, "
     + ", ".join(f"{_score_sql(n)} AS score_pl{n}, CASE WHEN {_score_sql(n)} >= 5 THEN 1 ELSE 0 END AS pred_pl{n}" for n in rules.LEVELS)
-    + " FROM t",
+    + ", concat_ws(' ', " + ", ".join(f"CASE WHEN {_rule_sql(r)} THEN '{r.id}' END" for r in rules.RULES) + ") AS matched_rules FROM t",
 )
 def crs_score(spark, sf_dir):
     out = rules.crs_scores(table(spark, sf_dir, "pages").select("page_id", "html"), "html")
-    return out.drop("html", "matched_rules")
+    return out.drop("html").withColumn("matched_rules", F.array_join(F.col("matched_rules").cast("array<string>"), " "))
 
 
 @query(
@@ -297,7 +302,7 @@ def source_buckets(spark, sf_dir):
 @query(
     "traffic_profile",
     """
-    WITH v AS (SELECT 'method' AS facet, event_type AS value FROM events UNION ALL SELECT 'path_depth', '1' FROM events
+    WITH v AS (SELECT 'method' AS facet, event_type AS value FROM events UNION ALL SELECT 'path_depth', CAST(event_id % 3 AS VARCHAR) FROM events
                UNION ALL SELECT 'user_agent', 'k' || json_extract_string(props, '$.k') FROM events),
     c AS (SELECT facet, value, count(*) AS n FROM v WHERE value IS NOT NULL GROUP BY 1, 2)
     SELECT facet, value, n, n / sum(n) OVER (PARTITION BY facet) AS share FROM c
@@ -307,7 +312,7 @@ def source_buckets(spark, sf_dir):
 def traffic_profile(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     agent = F.concat(F.lit("k"), F.get_json_object("props", "$.k"))
-    rows = e.select(F.col("event_type").alias("method"), F.lit("/a/b").alias("path"), F.create_map(F.lit("User-Agent"), agent).alias("h"))
+    rows = e.select(F.col("event_type").alias("method"), F.concat(F.lit("/x"), F.repeat(F.lit("/y"), (F.col("event_id") % 3).cast("int"))).alias("path"), F.create_map(F.lit("User-Agent"), agent).alias("h"))
     return profile.traffic_profile(rows, F.col("h"))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidewright.operators.rules import SIGNATURES
 from tidewright.plans.registry import query
 from tidewright.session import table
 from tidewright.streaming import scoring
@@ -25,11 +26,14 @@ def user_sessions(spark, sf_dir):
     return scoring.sessions(table(spark, sf_dir, "events"))
 
 
-@query("inline_scores", """
-    SELECT page_id, CASE WHEN contains(lower(url), 'http://') THEN 1 ELSE 0 END AS signature FROM pages
-    """)
+@query(
+    "inline_scores",
+    "SELECT doc_id, CASE WHEN " + " OR ".join("contains(lower(text), '" + x.replace("'", "''") + "')" for x in SIGNATURES) + " THEN 1 ELSE 0 END AS signature FROM documents WHERE text IS NOT NULL",
+)
 def inline_scores(spark, sf_dir):
-    return scoring.scored(table(spark, sf_dir, "pages").select("page_id", "url"), "url").select("page_id", "signature")
+    """The literal signatures on documents as they come."""
+    rows = table(spark, sf_dir, "documents").filter("text IS NOT NULL").select("doc_id", "text")
+    return scoring.scored(rows, "text").select("doc_id", "signature")
 
 
 @query("texts_first_seen", "SELECT count(DISTINCT text) AS n FROM documents")

@@ -38,6 +38,12 @@ def report_path(root: str, name: str) -> str:
     return f"{root.rstrip('/')}/{REPORTS.get(name, f'_unfiled/{name}.json')}"
 
 
+def report_status(root: str) -> list[tuple[str, str, bool]]:
+    """Of each known report: name, path below the root, and whether it is there and can be read."""
+    readable = lambda p: load_json(p) is not None if p.endswith(".json") else done(p)
+    return [(name, place, readable(report_path(root, name))) for name, place in REPORTS.items()]
+
+
 def expand_env(value):
     """Replaces ${NAME} in every string of a nested configuration; unset names become empty."""
     if isinstance(value, str):

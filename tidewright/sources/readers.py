@@ -114,15 +114,19 @@ def tcp_payload(frame: bytes) -> bytes:
     return frame[ip + (frame[ip + 12] >> 4) * 4 : end]
 
 
-def read_pcap(spark: SparkSession, path: str, most: int = 100_000) -> DataFrame:
-    """method, uri, headers (map) and body of the requests in capture files, up to so many packets a file."""
+def read_pcap(spark: SparkSession, path: str, most: int | None = None) -> DataFrame:
+    """method, uri, headers (map) and body of the requests in capture files: of all packets, or of the first `most` a file.
+
+    With `most`, packets_left tells how many packets of a request's file were not looked at.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for content in batch.column(0):
-                for k, frame in enumerate(packets(content.as_py())):
-                    payload = tcp_payload(frame) if k < most else b""
+                frames = list(packets(content.as_py()))
+                looked = frames if most is None else frames[:most]
+                for payload in map(tcp_payload, looked):
                     if not payload.startswith(_VERBS):
                         continue
                     head, _, body = payload.partition(b"\r\n\r\n")
@@ -130,10 +134,11 @@ def read_pcap(spark: SparkSession, path: str, most: int = 100_000) -> DataFrame:
                     parts = first.split(" ")
                     if len(parts) >= 2:
                         named = dict(x.split(":", 1) for x in lines if ":" in x)
-                        rows.append((parts[0], parts[1], [(a.strip(), b.strip()) for a, b in named.items()], body.decode("latin-1")))
-            columns = list(zip(*rows)) if rows else [[], [], [], []]
-            kinds = [pa.string(), pa.string(), pa.map_(pa.string(), pa.string()), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=["method", "path", "headers", "body"])
+                        rows.append((parts[0], parts[1], [(a.strip(), b.strip()) for a, b in named.items()], body.decode("latin-1"), len(frames) - len(looked)))
+            columns = list(zip(*rows)) if rows else [[], [], [], [], []]
+            kinds = [pa.string(), pa.string(), pa.map_(pa.string(), pa.string()), pa.string(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=["method", "path", "headers", "body", "packets_left"])
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("content")
-    return files.mapInArrow(run, "method string, path string, headers map<string,string>, body string")
+    found = files.mapInArrow(run, "method string, path string, headers map<string,string>, body string, packets_left long")
+    return found.drop("packets_left") if most is None else found

@@ -59,3 +59,13 @@ def manifest(spark, entries: list[dict]) -> DataFrame:
     rows = [tuple(e.get(n) for n in names) for e in entries]
     df = spark.createDataFrame(rows, "name string, path string, status string, n_bytes long, n_rows long, licence string")
     return df.withColumn("acquired_at", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX"))
+
+
+def put(spark, path: str, content: bytes) -> None:
+    """A small file of the driver's, in any file system that Spark writes."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = place.getFileSystem(spark._jsc.hadoopConfiguration()).create(place, True)
+    try:
+        stream.write(bytearray(content))
+    finally:
+        stream.close()
