@@ -79,14 +79,22 @@ def valid_for_class(cls: Column | str, text: Column | str) -> Column:
     return out.otherwise(F.lit(True))
 
 
-def heuristic_classes(raw: Column | str) -> Column:
-    """Sorted names of the classes whose pattern is found; a text meets a pattern only where it holds what that needs."""
+def heuristic_classes(raw: Column | str, low: Column | None = None) -> Column:
+    """Sorted names of the classes whose pattern is found; a text meets a pattern only where it holds what that needs.
+
+    low: the text in lower case, where the table has it as a column (else it is made for each class).
+    """
     text = text_or_empty(raw)
-    low = F.lower(text)
+    low = F.lower(text) if low is None else low
     found = F.array(*[F.when(may_match(low, NEEDS[n]) & F.rlike(text, F.lit("(?id)" + HEURISTICS[n])), F.lit(n)) for n in sorted(HEURISTICS)])
     return F.filter(found, lambda x: x.isNotNull())
 
 
+def with_classes(df: DataFrame, raw: str = "raw") -> DataFrame:
+    """The table with _classes, the names of heuristic_classes."""
+    return df.withColumn("_low", F.lower(text_or_empty(raw))).withColumn("_classes", heuristic_classes(raw, F.col("_low"))).drop("_low")
+
+
 def label_policy(label: Column, source: Column, classes: Column) -> Column:
     """pass, keep_flagged or quarantine: a benign row with hits is quarantined unless it is an edge case by its source."""
     some, edge = F.size(classes) > 0, F.contains(F.lower(text_or_empty(source)), F.lit("edge"))
@@ -111,7 +119,7 @@ def verdicts(df: DataFrame, token_ids: str | None = None, unknown_id: int = 1, p
     rate = unknown_rate(F.col(token_ids), unknown_id, pad_id) if token_ids else F.lit(0.0)
     shown = F.concat(F.lit("high_unk_rate:"), F.format_string("%.3f", rate))
     text = payload_text("query_string", "body", "raw")
-    rows = df.withColumn("_classes", heuristic_classes("raw"))
+    rows = with_classes(df)
     rows = rows.withColumn("_policy", label_policy(F.col("label"), F.col("source"), F.col("_classes")))
     conflict = F.concat(F.lit("label_conflict:benign_matches:"), F.array_join("_classes", ","))
     rows = rows.withColumn(
@@ -143,7 +151,7 @@ def conflict_classes(reason: Column | str) -> Column:
 
 def consistency_matrix(df: DataFrame, raw: str = "raw") -> DataFrame:
     """Counts by label, whether any pattern hits, and policy."""
-    rows = df.withColumn("_classes", heuristic_classes(raw))
+    rows = with_classes(df, raw)
     rows = rows.select("label", (F.size("_classes") > 0).cast("int").alias("any_hit"), label_policy(F.col("label"), F.col("source"), F.col("_classes")).alias("policy"))
     return rows.groupBy("label", "any_hit", "policy").agg(F.count("*").alias("n"))
 
