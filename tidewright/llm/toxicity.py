@@ -31,7 +31,7 @@ SAMPLE_POSITIVE, SAMPLE_NEGATIVE = 1500, 2500
 #: Features are hashed to so many weights; a kind is a whole word (0) or a beginning of so many bytes.
 WIDTH, KINDS = 1 << 18, (0, 4, 5, 6)
 #: A feature takes part that so many documents have and whose share in toxic ones is so many standard errors larger.
-LEAST_DOCS, LEAST_Z, MOST_FEATURES = 4, 4.0, 8192
+LEAST_DOCS, LEAST_Z, MOST_FEATURES = 4, 5.0, 8192
 #: A sentence ends at . ! ? or a line break, and after so many words.
 SENTENCE_WORDS = 40
 EPOCHS, RATE, PENALTY = 120, 0.15, 2e-5
