@@ -1,6 +1,8 @@
 import hashlib
 import math
+import re
 import zlib
+from collections import Counter
 from fractions import Fraction
 
 import numpy as np
@@ -418,6 +420,42 @@ def test_the_reader_decides_which_pages_are_undecided(spark):
     assert _extracted(spark, rows) == {k: _words(k, 6) for k in range(3)}
 
 
+def plain_texts(rows):
+    """Texts of pages (id, url, html) with runs counted in a dictionary over each host's distinct pages."""
+    pages = []
+    for _, url, html in rows:
+        host = re.match(r"[^/?#]*", url.split("://", 1)[1] if url and "://" in url else "")[0].translate(str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)}))
+        blocks, decided = html_text.read_blocks(html or "")
+        pages.append((host, [t for b in blocks for t in (*b.split(), "\n")], decided))
+    runs, n = {}, html_text.RUN
+    for host, tokens in {(h, tuple(t)) for h, t, _ in pages}:
+        for run in {tokens[i : i + n] for i in range(len(tokens) - n + 1)}:
+            runs[host, run] = runs.get((host, run), 0) + 1
+    out = []
+    for host, tokens, decided in pages:
+        on = [c if (c := runs[host, tuple(tokens[i : i + n])]) >= html_text.PAGES else 0 for i in range(len(tokens) - n + 1)]
+        covered = lambda least: {j for i, c in enumerate(on) if c > least for j in range(i, i + n)}
+        gone = covered(0)
+        if decided and tokens and len(gone) >= html_text.NEAR * len(tokens):
+            gone = covered(2 * np.median([c for c in on if c]))
+        lines = "".join(t if t == "\n" else f"{t} " for k, t in enumerate(tokens) if t == "\n" or k not in gone).split("\n")
+        out.append("\n".join(line.strip(" ") for line in lines if line.strip(" ")))
+    return out
+
+
+def test_texts_against_a_plain_version(spark, sf_dir):
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html").collect()]
+    rng = np.random.default_rng(12)
+    shared = [_words(100 + k, 25) for k in range(4)]
+    for k in range(40):
+        parts = [_words(200 + k, int(rng.integers(1, 30))), *(shared[j][int(rng.integers(0, 9)) :] for j in rng.integers(0, 4, int(rng.integers(0, 3))))]
+        body = "".join(f"<p>{p}</p>" for p in rng.permutation(parts))
+        rows.append((10_000 + k, f"HTTP://Host{k % 3}.example/{k}", f"<article>{body}</article>" if k % 2 else f"<nav>n</nav>{body}"))
+    rows += [(20_000, None, None), (20_001, "x", "<p>a"), (20_002, "://h", ""), rows[-1], (None, rows[-2][1], rows[-2][2])]
+    got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()
+    assert Counter((r["page_id"], r["url"], r["text"], r["n_chars"]) for r in got) == Counter((p, u, t, len(t)) for (p, u, _), t in zip(rows, plain_texts(rows)))
+
+
 def test_coverage_against_brute_force():
     rng = np.random.default_rng(5)
     streams = [[str(x) for x in rng.integers(0, 4, 60)] for _ in range(6)]
