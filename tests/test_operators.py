@@ -263,6 +263,14 @@ def test_exact_ranks_whatever_the_cells(spark):
     assert part.filter("s = 'hot'").agg(F.max("id")).first()[0] == 1499
 
 
+def test_logger(capsys):
+    jobs.logger("a").info("one")
+    jobs.logger("a").info("two")
+    lines = [x for x in capsys.readouterr().err.splitlines() if "tidewright.a" in x]
+    assert len(lines) in (0, 2)  # a handler of an earlier stream, or each line once
+    assert len(jobs.logger("a").handlers) == 1
+
+
 def test_flattest_productions(spark):
     g = grammar.Grammar({"S": [(9.0, [("n", "A"), ("n", "S")]), (1.0, [("n", "A")])], "A": [(5.0, [("n", "B")]), (1.0, [("t", "a")])], "B": [(1.0, [("t", "b")])]}, start="S", max_depth=2)
     assert {p.body for p in g.flat["S"]} == {(("n", "A"),)} and {p.body for p in g.flat["A"]} == {(("t", "a"),)}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -9,6 +10,19 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 
 
+def logger(name: str, level: int = logging.INFO) -> logging.Logger:
+    """The driver's log of that name: one handler, with times in UTC, however often it is asked for."""
+    found = logging.getLogger(f"tidewright.{name}")
+    if not found.handlers:
+        shown = logging.Formatter("%(asctime)sZ %(levelname)s %(name)s %(message)s", "%Y-%m-%dT%H:%M:%S")
+        shown.converter = time.gmtime
+        found.addHandler(logging.StreamHandler())
+        found.handlers[0].setFormatter(shown)
+        found.propagate = False
+    found.setLevel(level)
+    return found
+
+
 @dataclass
 class Job:
     """A step: what it needs, what it does, and whether its output is there already."""

@@ -106,6 +106,14 @@ def _capture(payloads: list[bytes]) -> bytes:
     return b"".join(out)
 
 
+@query("arrow_scan", "SELECT item_id, text, length(text) AS size FROM benchmark")
+def arrow_scan(spark, sf_dir):
+    """A table through an Arrow file."""
+    path = scratch(spark, "arrow")
+    sinks.write_arrow(table(spark, sf_dir, "benchmark").select("item_id", "text", F.length("text").cast("long").alias("size")), path)
+    return readers.read_arrow(spark, path, "item_id long, text string, size long")
+
+
 @query("capture_scan", "SELECT 'POST' AS method, '/nation/' || n_nationkey AS path, n_name AS host, 'name=' || n_name AS body FROM nation")
 def capture_scan(spark, sf_dir):
     """Requests of a capture file; packets that hold none are passed over."""

@@ -79,6 +79,19 @@ def first_existing(spark: SparkSession, paths: list[str]) -> str | None:
     return None
 
 
+def read_arrow(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The rows of Arrow files below a path, whose columns the schema names; each file is read by one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column(0):
+                with pa.ipc.open_file(pa.BufferReader(content.as_buffer())) as file:
+                    for k in range(file.num_record_batches):
+                        yield file.get_batch(k)
+
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("content").mapInArrow(run, schema)
+
+
 def checksums(spark: SparkSession, path: str) -> DataFrame:
     """SHA-256 and size of each file."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)

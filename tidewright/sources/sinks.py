@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -69,3 +70,11 @@ def put(spark, path: str, content: bytes) -> None:
         stream.write(bytearray(content))
     finally:
         stream.close()
+
+
+def write_arrow(df: DataFrame, path: str) -> None:
+    """A short table as one Arrow file, uncompressed, for readers that map it into memory."""
+    table, buffer = df.toArrow(), pa.BufferOutputStream()
+    with pa.ipc.new_file(buffer, table.schema) as out:
+        out.write_table(table)
+    put(df.sparkSession, path, buffer.getvalue().to_pybytes())
