@@ -253,6 +253,17 @@ def test_scores_in_a_session_with_tags(spark):
         spark.clearTags()
 
 
+def test_exact_percentiles(spark):
+    df = spark.range(4000).select((F.col("id") % 3).alias("k"), F.when(F.col("id") % 7 > 0, F.sin("id")).alias("v"), F.when(F.col("id") % 2 == 0, "a").alias("s"))
+    df = df.unionAll(spark.createDataFrame([(9, None, "a"), (8, 1.5, None)], df.schema))
+    shares = {"lo": 0.0, "q1": 0.25, "mid": 0.5, "p99": 0.99, "hi": 1.0}
+    for by in ([], ["k"], ["k", "s"]):
+        got = profile.exact_percentiles(df.repartition(5), F.col("v"), by, shares)
+        want = df.groupBy(*by).agg(*[F.percentile("v", F.lit(p)).alias(n) for n, p in shares.items()])
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert profile.exact_percentiles(df.limit(0), F.col("v"), ["k"], shares).count() == 0
+
+
 def test_exact_ranks_whatever_the_cells(spark):
     df = spark.range(3000).select("id", F.when(F.col("id") % 3 > 0, "hot").when(F.col("id") % 300 == 0, F.lit(None)).otherwise("cold").alias("s"))
     got = splits.ranked(df.repartition(5), [F.col("s")], splits._in_order("id", 1)).toPandas()

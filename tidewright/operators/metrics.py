@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tidewright.operators.profile import beside, exact_percentiles
+
 EPS = 1e-9
 
 
@@ -171,11 +173,10 @@ def family_recall(df: DataFrame, family: str = "family", least: float = 0.90) ->
 
 def latency(df: DataFrame, value: str = "ms", by: list[str] | None = None) -> DataFrame:
     """Percentiles with linear interpolation, mean, population deviation and rows a second."""
-    q = lambda p, name: F.percentile(value, F.lit(p)).alias(name)
-    return df.groupBy(*(by or [])).agg(
-        q(0.5, "p50"), q(0.95, "p95"), q(0.99, "p99"), q(0.999, "p999"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"),
-        (F.count("*") * 1000 / F.sum(value)).alias("rps"),
-    )
+    by = by or []
+    plain = df.groupBy(*by).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), (F.count("*") * 1000 / F.sum(value)).alias("rps"))
+    found = exact_percentiles(df, F.col(value), by, {"p50": 0.5, "p95": 0.95, "p99": 0.99, "p999": 0.999})
+    return beside(plain, found, by).select(*by, "p50", "p95", "p99", "p999", "mean", "std", "rps")
 
 
 def slo_verdicts(df: DataFrame, most_fpr: float = 0.001, most_p99: float = 50.0, least_rps: float = 10_000) -> DataFrame:

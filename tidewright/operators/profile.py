@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tidewright.functions.text import path_depth, text_or_empty
+from tidewright.session import cut
 
 
 def label_counts(df: DataFrame, by: list[str] | None = None, label: str = "label") -> DataFrame:
@@ -34,13 +35,51 @@ def length_summary(df: DataFrame, text: str = "raw", by: list[str] | None = None
     )
 
 
+def exact_percentiles(df: DataFrame, value: Column, by: list[str], shares: dict[str, float]) -> DataFrame:
+    """by and one column for each share: exact percentiles with linear interpolation, as F.percentile has them.
+
+    F.percentile keeps every distinct value of a group in one task, which for doubles has no bound. Here distinct values are
+    counted, dealt by ranges of group and value, and numbered inside a range; the counts of the ranges before it give each value
+    its ranks. Null values take no part; a group without values has nulls.
+    """
+    names = [f"_by_{k}" for k in range(len(by))]
+    rows = df.select(*[F.col(c).alias(n) for c, n in zip(by, names)], value.cast("double").alias("_v"))
+    counted = rows.groupBy(*names, "_v").agg(F.count("_v").alias("_c"))
+    # A range has to hold the same rows when its counts are summed and when its rows are numbered.
+    placed = cut(counted.repartitionByRange(*names, "_v").withColumn("_part", F.spark_partition_id()))
+    group = W.partitionBy(*names) if names else W.partitionBy(F.lit(0))
+    sums = placed.groupBy(*names, "_part").agg(F.sum("_c").alias("_s"))
+    sums = sums.withColumns({"_before": F.coalesce(F.sum("_s").over(group.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)), "_n": F.sum("_s").over(group)})
+    sums = sums.select(*[F.col(n).alias(f"{n}r") for n in names], F.col("_part").alias("_partr"), "_before", "_n")
+    same = [F.col(n).eqNullSafe(F.col(f"{n}r")) for n in names] + [F.col("_part") == F.col("_partr")]
+    before = F.coalesce(F.sum("_c").over(W.partitionBy(*names, "_part").orderBy("_v").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    ranked = placed.withColumn("_inside", before).join(sums, same).withColumn("_first", F.col("_before") + F.col("_inside"))
+    picked = []
+    for k, share in enumerate(shares.values()):
+        place = F.lit(share) * (F.col("_n") - 1)
+        at = lambda rank: F.max(F.when((F.col("_first") <= rank) & (rank < F.col("_first") + F.col("_c")), F.col("_v")))
+        picked += [F.max(place).alias(f"_place_{k}"), at(F.floor(place)).alias(f"_lo_{k}"), at(F.ceil(place)).alias(f"_hi_{k}")]
+    found = ranked.groupBy(*names).agg(*picked)
+    out = []
+    for k, name in enumerate(shares):
+        place, lo, hi = (F.col(f"{c}_{k}") for c in ("_place", "_lo", "_hi"))
+        out.append(F.when(F.floor(place) == F.ceil(place), lo).otherwise((F.ceil(place) - place) * lo + (place - F.floor(place)) * hi).alias(name))
+    return found.select(*[F.col(n).alias(c) for c, n in zip(by, names)], *out)
+
+
+def beside(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
+    """Two tables of one row a group, side by side; null groups meet."""
+    if not by:
+        return left.crossJoin(right)
+    renamed = right.select(*[F.col(c).alias(f"_{k}r") for k, c in enumerate(by)], *[c for c in right.columns if c not in by])
+    return left.join(renamed, [F.col(c).eqNullSafe(F.col(f"_{k}r")) for k, c in enumerate(by)], "left").drop(*[f"_{k}r" for k in range(len(by))])
+
+
 def describe(df: DataFrame, value: Column, *by: str) -> DataFrame:
     """Count, mean, deviation, minimum, quartiles and maximum by group."""
-    q = lambda p, name: F.percentile(value, F.lit(p)).alias(name)
-    return df.groupBy(*by).agg(
-        F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("min"),
-        q(0.25, "p25"), q(0.5, "p50"), q(0.75, "p75"), F.max(value).alias("max"),
-    )
+    plain = df.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"))
+    quartiles = exact_percentiles(df, value, list(by), {"p25": 0.25, "p50": 0.5, "p75": 0.75})
+    return beside(plain, quartiles, list(by)).select(*by, "n", "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
 def inventory(df: DataFrame, cls: str, required: list[str], low: int = 500, target: int = 5000) -> DataFrame:
