@@ -15,6 +15,8 @@ import pyarrow.compute as pc
 U64 = np.uint64
 #: Bytes of text handled at once; a longer text is handled alone.
 BLOCK_BYTES = 1 << 21
+#: Bytes whose running hashes are held at once, however long a text is.
+SEGMENT = 1 << 19
 _BASE = 0x9E3779B97F4A7C15 | 1
 IN_WORD = np.ones(256, bool)
 IN_WORD[[32, 9, 10, 11, 12, 13]] = False
@@ -39,7 +41,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of the hash base and of its inverse modulo 2^64."""
     if len(_powers["up"]) < n:
-        size = max(n, BLOCK_BYTES + 1)
+        size = max(n, SEGMENT + 4096)
         for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
             steps = np.full(size, base, U64)
             steps[0] = 1
@@ -75,6 +77,28 @@ def unpacked(blob: bytes) -> bytes:
     return pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), "zstd", asbytes=True) if len(blob) > 8 else b""
 
 
+def span_hash(data: np.ndarray, begin: np.ndarray, end: np.ndarray, values: np.ndarray = _VALUES) -> np.ndarray:
+    """Hashes of byte ranges with ascending beginnings; equal bytes, equal hash. Worked out a segment of the data at a time.
+
+    Memory is that of a segment and the longest range, which is short unless a text has no end of words.
+    """
+    out = np.empty(len(begin), U64)
+    longest = int((end - begin).max()) if len(begin) else 0
+    up, down = powers(SEGMENT + longest + 1)
+    cuts = np.searchsorted(begin, np.arange(0, len(data) + SEGMENT, SEGMENT))
+    for k in range(len(cuts) - 1):
+        lo, hi = cuts[k], cuts[k + 1]
+        if lo == hi:
+            continue
+        at = k * SEGMENT
+        part = data[at : at + SEGMENT + longest]
+        prefix = np.zeros(len(part) + 1, U64)
+        np.cumsum(values[part] * up[: len(part)], out=prefix[1:])
+        b, e = begin[lo:hi] - at, end[lo:hi] - at
+        out[lo:hi] = mix((prefix[e] - prefix[b]) * down[b] + (e - b).astype(U64))
+    return out
+
+
 class Words:
     """The words of a block of texts: begin and end (in bytes), hash, and the range of words of each text."""
 
@@ -87,17 +111,14 @@ class Words:
         for flags, edge in ((first, at[:-1][filled]), (last, at[1:][filled] - 1)):
             flags[edge] |= inside[edge]
         self.begin, self.end = np.flatnonzero(first), np.flatnonzero(last) + 1
-        up, down = powers(len(data) + 1)
-        self.prefix = np.zeros(len(data) + 1, U64)
-        np.cumsum((_LOWER_VALUES if lower else _VALUES)[data] * up[:-1], out=self.prefix[1:])
-        self.down = down
+        self.data, self.values = data, _LOWER_VALUES if lower else _VALUES
         self.bounds = np.searchsorted(self.begin, at)
         self.counts = np.diff(self.bounds)
         self.hash = self.span_hash(self.begin, self.end)
 
     def span_hash(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Hashes of byte ranges; equal bytes, equal hash."""
-        return mix((self.prefix[end] - self.prefix[begin]) * self.down[begin] + (end - begin).astype(U64))
+        """Hashes of byte ranges with ascending beginnings; equal bytes, equal hash."""
+        return span_hash(self.data, begin, end, self.values)
 
     def doc(self) -> np.ndarray:
         """The row of each word."""

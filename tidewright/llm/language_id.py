@@ -36,7 +36,7 @@ STEPS, BATCH, RATE = 160, 256, 0.02
 #: Bytes of a segment, and bytes read before and after it.
 SEGMENT, WARM = 1024, 32
 #: Segments that go through the network together, and their bytes.
-LANES, LANE_BYTES = 1024, 1 << 19
+LANES, LANE_BYTES = 1024, 1 << 18
 UNKNOWN = "und"
 #: The pooled score from which the pipeline takes a document's language for known.
 LEAST_SCORE = 0.4

@@ -39,6 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.llm import kernels
+from tidewright.llm.kernels import SEGMENT, span_hash
 
 LENGTH = 100
 #: Bytes that rank a sampled suffix.
@@ -46,7 +47,6 @@ GRAM = 32
 CHUNK_BYTES = 2 << 20
 #: Buckets: one for so many bytes of text, and so many at least.
 BUCKET_BYTES, LEAST_BUCKETS = 16 << 20, 1024
-_SEGMENT = 1 << 19
 _TEXT, _PRINTS, _REPLY = 0, 1, 2
 _ROWS = "key long, kind int, chunk long, bucket int, a binary, b binary"
 _ARROW = pa.schema([("key", pa.int64()), ("kind", pa.int32()), ("chunk", pa.int64()), ("bucket", pa.int32()), ("a", pa.binary()), ("b", pa.binary())])
@@ -57,25 +57,6 @@ _LAST_ID = np.iinfo(np.int64).max
 _OTHER_VALUES = np.random.default_rng(77).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def span_hash(data: np.ndarray, begin: np.ndarray, end: np.ndarray, values: np.ndarray = kernels._VALUES) -> np.ndarray:
-    """Fingerprints of byte ranges with ascending beginnings and short ends, worked out a segment of the data at a time."""
-    out = np.empty(len(begin), np.uint64)
-    longest = int((end - begin).max()) if len(begin) else 0
-    up, down = kernels.powers(_SEGMENT + longest + 1)
-    cuts = np.searchsorted(begin, np.arange(0, len(data) + _SEGMENT, _SEGMENT))
-    for k in range(len(cuts) - 1):
-        lo, hi = cuts[k], cuts[k + 1]
-        if lo == hi:
-            continue
-        at = k * _SEGMENT
-        part = data[at : at + _SEGMENT + longest]
-        prefix = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum(values[part] * up[: len(part)], out=prefix[1:])
-        b, e = begin[lo:hi] - at, end[lo:hi] - at
-        out[lo:hi] = kernels.mix((prefix[e] - prefix[b]) * down[b] + (e - b).astype(np.uint64))
-    return out
-
-
 def sampled(data: np.ndarray, valid: np.ndarray, length: int) -> np.ndarray:
     """The position of the sampled suffix of each string of that length; -1 where no string starts.
 
@@ -83,9 +64,9 @@ def sampled(data: np.ndarray, valid: np.ndarray, length: int) -> np.ndarray:
     """
     out = np.full(len(data), -1, np.int64)
     width = length - GRAM + 1
-    place = np.arange(_SEGMENT + length, dtype=np.uint64)
-    for at in range(0, len(data), _SEGMENT):
-        part = data[at : at + _SEGMENT + length - 1]
+    place = np.arange(SEGMENT + length, dtype=np.uint64)
+    for at in range(0, len(data), SEGMENT):
+        part = data[at : at + SEGMENT + length - 1]
         n = len(part) - length + 1
         if n <= 0 or not valid[at : at + n].any():
             continue
