@@ -7,8 +7,9 @@ document holds less than the step. Values are whole numbers: the step in the upp
 Documents with equal shingle sets are one class, whose smallest doc_id stands for it. Bands of the signatures of the class
 representatives give buckets. First each bucket links its members to its smallest one; these pairs are verified on the full
 sets, and links are grouped by union-find (inside partitions, then by large-star and small-star rounds). Buckets whose
-members are then in one component are done. The members of the others are compared inside the bucket, all with all on their
-full sets, in blocks of a bounded number of texts; only links leave a block, so no pair is ever a row and none is lost.
+members are then in one component are done. In the others, what the first round did not put together with the smallest member
+is compared with all members on the full sets, in blocks of a bounded number of texts; only links leave a block, so no pair is
+ever a row and none is lost.
 
 Two documents of similarity s share no band with probability (1 - s**ROWS)**BANDS: 5e-6 at 0.8. Six rows a band keep
 documents that only share frequent words apart: at a similarity of 0.05 a band is shared once in 60 million pairs.
@@ -284,11 +285,17 @@ def link(reps: DataFrame, texts: DataFrame, same: DataFrame, width: int, percent
     pairs = cut(pairs.select("a", "mark_a", "b", "mark_b", part.alias("part")))
     links = cut(verified(pairs, texts, width, percent).unionAll(same.select("a", "b")))
     named = components(links).withColumnRenamed("node", "doc_id")
-    placed = members.select("bucket", "doc_id", "mark").join(named, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    sizes = placed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
-    open_rows = _towards(placed, sizes.select("bucket", "n", F.col("n").alias("size")), n_entries, "bucket").withColumn("_blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    own = F.pmod(F.xxhash64("doc_id"), F.col("_blocks")).cast("int")
-    open_rows = open_rows.withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    placed = members.select("bucket", "doc_id", "mark", F.col("c.doc_id").alias("centre")).join(named, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    # Members that the first round has put together with the bucket's smallest one meet the others alone, not each other.
+    parts = placed.groupBy("bucket", "component").agg(F.count("*").alias("n"), F.max(F.col("doc_id") == F.col("centre")).alias("main"))
+    sizes = parts.groupBy("bucket").agg(
+        F.sum("n").alias("n"), F.sum(F.when(~F.col("main"), F.col("n"))).alias("others"), F.max(F.when(F.col("main"), F.col("component"))).alias("major")
+    ).filter("others > 0")
+    sizes = sizes.select("bucket", "n", "major", F.ceil(F.col("others") / BLOCK).cast("int").alias("_others"), F.ceil((F.col("n") - F.col("others")) / BLOCK).cast("int").alias("_mains"))
+    open_rows = _towards(placed, sizes, n_entries, "bucket").withColumn("_main", F.col("component") == F.col("major"))
+    spread = lambda blocks: F.pmod(F.xxhash64("doc_id"), F.col(blocks)).cast("int")
+    met = F.sequence(F.lit(0), F.col("_others") - F.when(F.col("_main"), 1).otherwise(1 - F.col("_mains")))
+    open_rows = open_rows.withColumn("_own", F.when(F.col("_main"), F.col("_others") + spread("_mains")).otherwise(spread("_others"))).withColumn("_other", F.explode(met))
     blocks = open_rows.select("bucket", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), "doc_id", "mark", "component").join(texts, ["doc_id", "mark"])
     inside = blocks.groupBy("bucket", "i", "j").applyInArrow(_linked_inside(width, percent), "a long, b long")
     return components(links.unionAll(cut(inside)))
@@ -317,11 +324,15 @@ def group(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text"
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One document of each group, with all its columns; of rows that repeat a kept doc_id and text, one; of null ids, one a text."""
-    kept = group(docs, width, percent, text, doc_id).filter("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_near_dup_id")).distinct()
+    found = group(docs, width, percent, text, doc_id).filter("kept AND doc_id IS NOT NULL")
+    kept = cut(found.groupBy(F.col("doc_id").alias("_near_dup_id")).agg(F.count("*").alias("_near_dup_rows")))
     named = F.col(f"`{doc_id}`")
-    # Rows meet by their id once; what repeats an id and a text is then already together.
-    found = docs.filter(named.isNotNull()).join(kept, named.cast("long") == F.col("_near_dup_id"), "left_semi").dropDuplicates([doc_id, text])
-    return found.unionAll(docs.filter(named.isNull()).dropDuplicates([text]))
+
+    def rows(which: str) -> DataFrame:
+        return docs.join(kept.filter(which), named.cast("long") == F.col("_near_dup_id"), "left_semi")
+
+    # Ids of one row, which are nearly all, need no more; the others, and null ids, are told apart by their texts.
+    return rows("_near_dup_rows = 1").unionAll(rows("_near_dup_rows > 1").dropDuplicates([doc_id, text])).unionAll(docs.filter(named.isNull()).dropDuplicates([text]))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
