@@ -58,7 +58,10 @@ def test_gradients_match_differences():
 def test_both_layouts_give_the_same_states():
     w = language_id._start(3, 2)
     x = np.random.default_rng(3).integers(0, 256, (9, 7))
-    assert np.allclose(language_id._run(w["table_f"], w["state_f"], x), language_id._states(w["table_f"], w["state_f"], x).transpose(0, 2, 1), atol=1e-5)
+    y = np.random.default_rng(4).integers(0, 256, (9, 7))
+    both = language_id._states(np.stack([w["table_f"], w["table_b"]]), np.stack([w["state_f"], w["state_b"]]), np.stack([np.eye(language_id.HIDDEN, dtype=np.float32)] * 2), [x, y])
+    for way, (name, steps) in enumerate((("f", x), ("b", y))):
+        assert np.allclose(language_id._run(w[f"table_{name}"], w[f"state_{name}"], steps), both[:, way].transpose(0, 2, 1), atol=1e-5)
 
 
 def loop_probabilities(w, raw):

@@ -396,10 +396,11 @@ def _words(k, n=20):
 LINE = "read more stories like this one in our daily letter"
 
 
-def test_repetition_inside_articles(spark):
-    rows = [(k, f"http://a.example/{k}", f"<article><p>{_words(k)}</p><p>{LINE}</p></article>") for k in range(3)]
-    rows += [(3 + k, "http://c.example/", f"<article><p>{_words(3, 60)} {k}</p></article>") for k in range(2)]  # a story of two pages
-    want = {k: _words(k) for k in range(3)} | {3 + k: f"{_words(3, 60)} {k}" for k in range(2)}
+def test_articles_keep_what_others_have_too(spark):
+    rows = [(k, f"http://a.example/{k}", f"<div>{LINE}</div><article><p>{_words(k)}</p><p>{LINE}</p></article>") for k in range(3)]
+    rows += [(3 + k, "http://a.example/", f"<article><p>{_words(3, 60)} {k}</p></article>") for k in range(2)]  # a story of two pages
+    rows += [(5, "http://a.example/u", f"<p>{_words(9)}</p><p>{LINE}</p>")]  # undecided: the line is on other pages of the host
+    want = {k: f"{_words(k)}\n{LINE}" for k in range(3)} | {3 + k: f"{_words(3, 60)} {k}" for k in range(2)} | {5: _words(9)}
     assert _extracted(spark, rows) == want
 
 
@@ -433,11 +434,8 @@ def plain_texts(rows):
             runs[host, run] = runs.get((host, run), 0) + 1
     out = []
     for host, tokens, decided in pages:
-        on = [c if (c := runs[host, tuple(tokens[i : i + n])]) >= html_text.PAGES else 0 for i in range(len(tokens) - n + 1)]
-        covered = lambda least: {j for i, c in enumerate(on) if c > least for j in range(i, i + n)}
-        gone = covered(0)
-        if decided and tokens and len(gone) >= html_text.NEAR * len(tokens):
-            gone = covered(2 * np.median([c for c in on if c]))
+        on = [runs[host, tuple(tokens[i : i + n])] >= html_text.PAGES for i in range(len(tokens) - n + 1)]
+        gone = set() if decided else {j for i, c in enumerate(on) if c for j in range(i, i + n)}
         lines = "".join(t if t == "\n" else f"{t} " for k, t in enumerate(tokens) if t == "\n" or k not in gone).split("\n")
         out.append("\n".join(line.strip(" ") for line in lines if line.strip(" ")))
     return out

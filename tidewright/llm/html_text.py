@@ -1,13 +1,14 @@
 """Main text of web pages: structure first, then a suffix array over the token streams of each host.
 
 The markup is read once, without building a tree. Regions that are menus, headers, footers, sidebars, notices, adverts,
-forms or reader comments by element, role, class or id are left out. Of a page with an article (or a main element) its text
-stays; any other page is undecided, and all its blocks stay. The token streams of all pages then go through suffix arrays
-ordered to the depth of RUN tokens, which give the runs of that length and the distinct pages of each. Their counts are
-summed over the whole host, and tokens that a run on PAGES or more distinct pages covers are removed as boilerplate.
+forms or reader comments by element, role, class or id are left out. Of a page with an article (or a main element) what is left
+is the main text; any other page is undecided, and all its blocks stay. The token streams of all pages then go through suffix
+arrays ordered to the depth of RUN tokens, which give the runs of that length and the distinct pages of each. Their counts are
+summed over the whole host, and of an undecided page the tokens that a run on PAGES or more distinct pages covers are removed
+as boilerplate. Pages of a host with equal blocks are one page.
 
-A main text of which such runs cover NEAR or more is a story that near-duplicate pages carry. It loses only the runs that are
-on more than twice as many pages as the middle one of its repeated runs. Pages of a host with equal blocks are one page.
+An article keeps its lines, also those that other pages have (a story of two pages, a quotation, a licence): nothing in them
+tells that they are no part of it.
 
 Pages are dealt to groups of about GROUP_PAGES by a digest of host and blocks, so equal pages meet and a host of any size is
 worked on by many tasks. Runs meet in ranges of their fingerprints, in two passes. The first one sends 32 bits of each run
@@ -45,8 +46,6 @@ RUN, PAGES, GROUP_PAGES, RANGE_GROUPS, RANGES = 8, 2, 512, 16, 12
 #: A page has copies in several groups from more than a group's pages on, and from this part of all pages: so at most as many
 #: pages as its inverse have, and the table of them can be sent to every executor.
 HOT_SHARE = 1e-4
-#: The part of a main text that repeated runs cover where near-duplicate pages carry it.
-NEAR = 0.5
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*'|[\"'])*+)>",
@@ -390,7 +389,7 @@ def _candidates(ranges: int):
 
 
 def _repeated(rows: pa.Table) -> pa.Table:
-    """To each group, those of its runs in this range that are on PAGES or more pages of all groups, with that number."""
+    """To each group, those of its runs in this range that are on PAGES or more pages of all groups."""
     each = [np.frombuffer(x.as_py(), U64).reshape(-1, 2) for x in rows["runs"]]
     every = np.concatenate(each)
     order = np.lexsort((every[:, 1], every[:, 0]))
@@ -405,19 +404,14 @@ def _repeated(rows: pa.Table) -> pa.Table:
         at += len(own)
         often = total >= PAGES
         if often.any():
-            kept.append((span, part, own[often, 0].tobytes(), total[often].tobytes()))
+            kept.append((span, part, own[often, 0].tobytes(), b""))
     return _messages(*map(list, zip(*kept))) if kept else _messages([], [], [], [])
 
 
-def _without(raw: bytes, decided: bool, on: np.ndarray, begin: np.ndarray, end: np.ndarray) -> str:
-    """The text of a page without the tokens of repeated runs; on: the pages of the run that begins at each token, or 0."""
-    hit = _cover(on > 0, RUN)
-    if decided and hit.mean() >= NEAR:
-        hit = _cover(on > 2 * np.median(on[on > 0]), RUN)
-    if not hit.any():
-        return raw[:-1].decode("utf-8", "surrogatepass")
+def _without(raw: bytes, repeated: np.ndarray, begin: np.ndarray, end: np.ndarray) -> str:
+    """The text of a page without the tokens of repeated runs, which begin at the marked tokens."""
     kept, block = [], []
-    for gone, a, b in zip(hit.tolist(), begin.tolist(), end.tolist()):
+    for gone, a, b in zip(_cover(repeated, RUN).tolist(), begin.tolist(), end.tolist()):
         if raw[a] == 10:
             if block:
                 kept.append(b" ".join(block))
@@ -430,19 +424,15 @@ def _without(raw: bytes, decided: bool, on: np.ndarray, begin: np.ndarray, end:
 def _texts(pages: pa.Table, often: pa.Table) -> pa.Table:
     raw, decided = [kernels.unpacked(t) for t in pages["text"].to_pylist()], pages["decided"].to_pylist()
     streams = Streams(pa.array(raw, pa.binary()), pages["host"].to_pylist())
-    on = np.zeros(len(streams.page), np.uint32)
+    on = np.zeros(len(streams.page), bool)
     if len(often):
-        repeated = np.frombuffer(b"".join(often["runs"].to_pylist()), U64)
-        totals = np.frombuffer(b"".join(often["pages"].to_pylist()), np.uint32)
-        order = np.argsort(repeated)
-        repeated, totals, whole = repeated[order], totals[order], streams.whole()
+        repeated, whole = np.unique(np.frombuffer(b"".join(often["runs"].to_pylist()), U64)), streams.whole()
         prints = streams.prints(whole)
-        at = np.minimum(np.searchsorted(repeated, prints), len(repeated) - 1)
-        on[whole] = np.where(repeated[at] == prints, totals[at], 0)
+        on[whole] = repeated[np.minimum(np.searchsorted(repeated, prints), len(repeated) - 1)] == prints
     texts = []
     for k, (a, b) in enumerate(zip(streams.edges[:-1].tolist(), streams.edges[1:].tolist())):
-        if on[a:b].any():
-            texts.append(_without(raw[k], decided[k], on[a:b], streams.begin[a:b], streams.end[a:b]))
+        if not decided[k] and on[a:b].any():
+            texts.append(_without(raw[k], on[a:b], streams.begin[a:b], streams.end[a:b]))
         else:
             texts.append(raw[k][:-1].decode("utf-8", "surrogatepass"))
     return pa.table({"page_id": pages["page_id"], "url": pages["url"], "text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64())})
