@@ -34,9 +34,9 @@ SAMPLE_DOCS = 400
 WINDOW, HIDDEN = 32, 12
 STEPS, BATCH, RATE = 160, 256, 0.02
 #: Bytes of a segment, and bytes read before and after it.
-SEGMENT, WARM = 1024, 32
+SEGMENT, WARM = 384, 32
 #: Segments that go through the network together, and their bytes.
-LANES, LANE_BYTES = 1024, 1 << 18
+LANES, LANE_BYTES = 1024, 1 << 19
 UNKNOWN = "und"
 #: The pooled score from which the pipeline takes a document's language for known.
 LEAST_SCORE = 0.4
@@ -195,36 +195,43 @@ def _segment_scores(w: dict[str, np.ndarray], data: np.ndarray, at: np.ndarray)
         lo = hi
 
 
-def _states(table: np.ndarray, state: np.ndarray, steps: np.ndarray) -> np.ndarray:
-    """What _run gives, as (time, HIDDEN, lane): long rows, so that the work on gates is on contiguous memory."""
-    table, state = np.ascontiguousarray(table.T), np.ascontiguousarray(state.T)
-    out = np.empty((len(steps), HIDDEN, steps.shape[1]), np.float32)
-    h = np.zeros(out.shape[1:], np.float32)
-    x, g = np.empty((3 * HIDDEN, steps.shape[1]), np.float32), np.empty((3 * HIDDEN, steps.shape[1]), np.float32)
-    for t in range(len(steps)):
-        np.take(table, steps[t], axis=1, out=x, mode="clip")
+def _states(table: np.ndarray, state: np.ndarray, shown: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
+    """What _run gives for each way (way, byte, gate; way, HIDDEN, gate), times shown (way, k, HIDDEN), as (time, way, k, lane).
+
+    Long rows, so that the work on gates is on contiguous memory, both ways at once, and of the states only what is shown is
+    kept, so that a step's work stays in the processor's cache.
+    """
+    table, state = np.ascontiguousarray(table.transpose(0, 2, 1)), np.ascontiguousarray(state.transpose(0, 2, 1))
+    ways, lanes = len(table), steps[0].shape[1]
+    out = np.empty((len(steps[0]), ways, shown.shape[1], lanes), np.float32)
+    h = np.zeros((ways, HIDDEN, lanes), np.float32)
+    x, g = (np.empty((ways, 3 * HIDDEN, lanes), np.float32) for _ in range(2))
+    gates, n, u = x[:, : 2 * HIDDEN], x[:, 2 * HIDDEN :], g[:, 2 * HIDDEN :]
+    for t in range(len(out)):
+        for way, bytes_ in enumerate(steps):
+            np.take(table[way], bytes_[t], axis=1, out=x[way], mode="clip")
         np.matmul(state, h, out=g)
-        gates, n = x[: 2 * HIDDEN], x[2 * HIDDEN :]
-        gates += g[: 2 * HIDDEN]
+        gates += g[:, : 2 * HIDDEN]
         np.negative(gates, out=gates)
         np.exp(gates, out=gates)
         gates += 1
         np.reciprocal(gates, out=gates)
-        u = g[2 * HIDDEN :]
-        u *= gates[HIDDEN:]
+        u *= gates[:, HIDDEN:]
         n += u
         np.tanh(n, out=n)
-        np.subtract(h, n, out=u)
-        u *= gates[:HIDDEN]
-        h = np.add(n, u, out=out[t])
+        h -= n
+        h *= gates[:, :HIDDEN]
+        h += n
+        np.matmul(shown, h, out=out[t])
     return out
 
 
 def _positions(w: dict[str, np.ndarray], steps: np.ndarray, back: np.ndarray) -> np.ndarray:
     """Probabilities (time, language, lane) over bytes (time, lane); back: the place that each lane reads at a time, backwards."""
-    scores = np.matmul(w["out"][:HIDDEN].T, _states(w["table_f"], w["state_f"], steps))
-    behind = np.matmul(w["out"][HIDDEN:].T, _states(w["table_b"], w["state_b"], np.take_along_axis(steps, back, 0)))
-    scores += np.take_along_axis(behind, back[:, None, :], 0)
+    table, state = (np.stack([w[f"{name}_f"], w[f"{name}_b"]]) for name in ("table", "state"))
+    shown = np.ascontiguousarray(w["out"].reshape(2, HIDDEN, -1).transpose(0, 2, 1))
+    both = _states(table, state, shown, [steps, np.take_along_axis(steps, back, 0)])
+    scores = both[:, 0] + np.take_along_axis(both[:, 1], back[:, None, :], 0)
     scores += w["bias"][:, None]
     np.exp(np.clip(scores, -30, 30, out=scores), out=scores)
     scores /= scores.sum(axis=1, keepdims=True)
