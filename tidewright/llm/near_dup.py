@@ -199,9 +199,11 @@ def _towards(rows: DataFrame, told: DataFrame, total: int, key: str = "u") -> Da
     many as its inverse are. The others, of which no partition holds much, are joined by a shuffle.
     """
     often = max(HUB_ROWS, int(total * HUB_SHARE))
-    hubs = F.broadcast(told.filter(F.col("n") > often).drop("n"))
-    rest = rows.join(hubs.select(key), key, "left_anti").join(told.filter(F.col("n") <= often).drop("n"), key)
-    return rows.join(hubs, key).unionByName(rest)
+    hubs = F.broadcast(told.filter(F.col("n") > often).drop("n").withColumn("_hub", F.lit(True)))
+    met = rows.join(hubs, key, "left")
+    known = [c for c in told.columns if c not in (key, "n")]
+    rest = met.filter("_hub IS NULL").drop("_hub", *known).join(told.filter(F.col("n") <= often).drop("n"), key)
+    return met.filter("_hub").drop("_hub").unionByName(rest)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -220,8 +222,9 @@ def components(edges: DataFrame) -> DataFrame:
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
         star = _towards(both.filter("v > u"), least, 2 * before[0]).select(F.col("v").alias("u"), F.col("m").alias("v"))
         # small-star: the smaller neighbours of a node, and the node, go to the smallest of them
-        least = star.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        met = _towards(star, least, 2 * before[0])
+        # A node has no more smaller neighbours than the forests at the beginning had roots in its component: no hubs here.
+        least = star.groupBy("u").agg(F.min("v").alias("m"))
+        met = star.join(least, "u")
         now, after = saved(met.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v"))))
         if after == before:
             break
@@ -285,6 +288,7 @@ def link(reps: DataFrame, texts: DataFrame, same: DataFrame, width: int, percent
     pairs = cut(pairs.select("a", "mark_a", "b", "mark_b", part.alias("part")))
     links = cut(verified(pairs, texts, width, percent).unionAll(same.select("a", "b")))
     named = components(links).withColumnRenamed("node", "doc_id")
+    stars = named.select(F.col("component").alias("a"), F.col("doc_id").alias("b"))
     placed = members.select("bucket", "doc_id", "mark", F.col("c.doc_id").alias("centre")).join(named, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     # Members that the first round has put together with the bucket's smallest one meet the others alone, not each other.
     parts = placed.groupBy("bucket", "component").agg(F.count("*").alias("n"), F.max(F.col("doc_id") == F.col("centre")).alias("main"))
@@ -298,7 +302,7 @@ def link(reps: DataFrame, texts: DataFrame, same: DataFrame, width: int, percent
     open_rows = open_rows.withColumn("_own", F.when(F.col("_main"), F.col("_others") + spread("_mains")).otherwise(spread("_others"))).withColumn("_other", F.explode(met))
     blocks = open_rows.select("bucket", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), "doc_id", "mark", "component").join(texts, ["doc_id", "mark"])
     inside = blocks.groupBy("bucket", "i", "j").applyInArrow(_linked_inside(width, percent), "a long, b long")
-    return components(links.unionAll(cut(inside)))
+    return components(stars.unionAll(cut(inside)))
 
 
 def group(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
