@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: The rows that a classifier may learn labels from have another remainder than this.
-HELD_OUT_REMAINDER = 2
+from tidewright.session import cut, shared_folder, table
 
+__all__ = ["HELD_OUT_REMAINDER", "cut", "held_out", "keeping", "shared_folder", "table"]
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the tables of a data folder, by any path that Spark reads."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+#: The rows that a classifier may learn labels from have another remainder than this.
+HELD_OUT_REMAINDER = 2
 
 
 def held_out(doc_id: Column | str = "doc_id") -> Column:
@@ -27,23 +24,3 @@ def keeping(docs: DataFrame, keep: tuple[str, ...]) -> tuple[list[Column], list[
     names = [f"_keep_{k}" for k in range(len(keep))]
     columns = [F.col(f"`{c}`").alias(n) for n, c in zip(names, keep)]
     return columns, names, "".join(f"{n} {docs.schema[c].dataType.simpleString()}, " for n, c in zip(names, keep))
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: the session's spark.checkpoint.dir.
-
-    Only where that is unset and the session is a local one, as in tests, a temporary one is made; on a cluster it has to be set.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if found is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
-        found = tempfile.mkdtemp(prefix="tidewright-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Writes the rows to the shared folder of the cluster and goes on from there."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
