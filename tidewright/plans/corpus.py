@@ -111,10 +111,10 @@ def near_dedup(spark, sf_dir):
 @query(
     "contamination_filter",
     f"""
-    WITH d AS (SELECT doc_id, coalesce(text, '') AS text, {GRAMS} AS g FROM documents), i AS (SELECT {GRAMS} AS g FROM benchmark)
-    SELECT doc_id FROM d WHERE NOT EXISTS (
-        SELECT 1 FROM i WHERE least(len(i.g), len(d.g)) >= 0.7 * greatest(len(i.g), len(d.g))
-          AND len(list_intersect(i.g, d.g)) >= 0.7 * (len(i.g) + len(d.g) - len(list_intersect(i.g, d.g))))
+    WITH d AS (SELECT doc_id, unnest({GRAMS}) AS g FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)), i AS (SELECT item_id, unnest({GRAMS}) AS g FROM benchmark),
+    dn AS (SELECT doc_id, count(*) AS n FROM d GROUP BY 1), bn AS (SELECT item_id, count(*) AS n FROM i GROUP BY 1),
+    p AS (SELECT doc_id, item_id, count(*) AS k FROM d JOIN i USING (g) GROUP BY 1, 2)
+    SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT p.doc_id FROM p JOIN dn USING (doc_id) JOIN bn USING (item_id) WHERE k >= 0.7 * (dn.n + bn.n - k))
     """,
 )
 def contamination_filter(spark, sf_dir):
@@ -126,11 +126,11 @@ def contamination_filter(spark, sf_dir):
 @query(
     "split_leakage",
     f"""
-    WITH r AS (SELECT doc_id, text, {GRAMS} AS g, (row_number() OVER (PARTITION BY lang ORDER BY sha256('42|' || doc_id), doc_id) - 1) / count(*) OVER (PARTITION BY lang) AS place FROM documents),
-    held AS (SELECT * FROM r WHERE place < 0.02 OR place >= 0.05 AND place < 0.15), train AS (SELECT * FROM r WHERE place >= 0.3)
-    SELECT doc_id FROM held WHERE NOT EXISTS (
-        SELECT 1 FROM train t WHERE least(len(t.g), len(held.g)) >= 0.7 * greatest(len(t.g), len(held.g))
-          AND len(list_intersect(t.g, held.g)) >= 0.7 * (len(t.g) + len(held.g) - len(list_intersect(t.g, held.g))))
+    WITH r AS (SELECT doc_id, coalesce(text, '') AS text, (row_number() OVER (PARTITION BY lang ORDER BY sha256('42|' || doc_id), doc_id) - 1) / count(*) OVER (PARTITION BY lang) AS place FROM documents),
+    g AS (SELECT doc_id, place, unnest({GRAMS}) AS g FROM r), n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1),
+    p AS (SELECT h.doc_id AS a, t.doc_id AS b, count(*) AS k FROM g h JOIN g t ON h.g = t.g WHERE (h.place < 0.02 OR h.place >= 0.05 AND h.place < 0.15) AND t.place >= 0.3 GROUP BY 1, 2)
+    SELECT doc_id FROM r WHERE (place < 0.02 OR place >= 0.05 AND place < 0.15)
+      AND doc_id NOT IN (SELECT a FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE k >= 0.7 * (x.n + y.n - k))
     """,
 )
 def split_leakage(spark, sf_dir):
