@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import keeping
+from tidewright.llm.common import keeping, spread
 
 #: Files whose tensors are one array.
 FILES = 256
@@ -259,4 +259,4 @@ def tensor_table(rows: pa.Table, column: str = "tensor") -> pa.Table:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return digests(store(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    return digests(store(spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))))

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.llm import kernels
-from tidewright.llm.common import held_out, keeping
+from tidewright.llm.common import held_out, keeping, spread
 
 SAMPLE_DOCS = 400
 WINDOW, HIDDEN = 32, 12
@@ -315,4 +315,4 @@ def _judged(docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return predict(docs, fit(*training_rows(docs))).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+    return predict(spread(docs.select("doc_id", "text")), fit(*training_rows(docs))).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.llm import kernels
-from tidewright.llm.common import held_out, keeping
+from tidewright.llm.common import held_out, keeping, spread
 
 SAMPLE_POSITIVE, SAMPLE_NEGATIVE = 1500, 2500
 #: Features are hashed to so many weights; a kind is a whole word (0) or a beginning of so many bytes.
@@ -242,6 +242,6 @@ def offending(docs: DataFrame, model: Model | None, least: float = LEAST, doc_id
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = fit(*training_rows(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
-    return score(docs, model).select(
+    return score(spread(docs.select("doc_id", "text")), model).select(
         "doc_id", held_out().alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"), "offending"
     )
