@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewright.operators import metrics, ranking
+from tidewright.operators import metrics, profile, ranking
 from tidewright.plans.corpus import labelled
 from tidewright.plans.registry import query
 from tidewright.session import table
@@ -221,10 +221,11 @@ m AS (SELECT event_type AS model, round(avg(value) / 100, 6) AS auc_pr, quantile
 
 
 def _models(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("model")).agg(
-        F.round(F.avg("value") / 100, 6).alias("auc_pr"), F.percentile("value", F.lit(0.99)).alias("p99"),
-        F.when(F.col("event_type") == "purchase", None).otherwise(F.round(F.stddev_pop("value") / 200, 6)).alias("mean_evasion"),
-    )
+    e = table(spark, sf_dir, "events").withColumnRenamed("event_type", "model")
+    plain = e.groupBy("model").agg(
+        F.round(F.avg("value") / 100, 6).alias("auc_pr"), F.when(F.col("model") == "purchase", None).otherwise(F.round(F.stddev_pop("value") / 200, 6)).alias("mean_evasion")
+    )
+    return profile.beside(plain, profile.exact_percentiles(e, F.col("value"), ["model"], {"p99": 0.99}), ["model"])
 
 
 @query("composite_rank", f"""
@@ -247,7 +248,7 @@ def composite_rank(spark, sf_dir):
 def master_table(spark, sf_dir):
     models = _models(spark, sf_dir)
     e = table(spark, sf_dir, "events").filter("event_type <> 'click'")
-    speed = e.groupBy(F.col("event_type").alias("model")).agg(F.percentile("value", F.lit(0.5)).alias("p50"))
+    speed = profile.exact_percentiles(e.withColumnRenamed("event_type", "model"), F.col("value"), ["model"], {"p50": 0.5})
     speed = speed.select("model", F.lit(1).alias("batch_size"), F.lit("cpu").alias("device"), "p50", F.lit(0.0).alias("p95"), F.lit(0.0).alias("p99"), F.lit(1.0).alias("rps"))
     memory = models.filter("model = 'view'").select("model", F.lit(12.5).alias("mb"))
     base = spark.createDataFrame([("rules [baseline]", 0.25)], "model string, auc_pr double")
